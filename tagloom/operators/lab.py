@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, functions as F
 
 from tagloom.functions import labels
+from tagloom.functions.timecols import time_bucket
 
 
 def lab_samples(
@@ -104,7 +105,7 @@ def shift_features(
     sensor: DataFrame, tag: str = "tag", time: str = "ts", value: str = "value"
 ) -> DataFrame:
     """Mean, deviation, min and max of hourly means per logbook date, block and tag."""
-    hour = F.date_trunc("hour", time).cast("timestamp_ntz")
+    hour = time_bucket(sensor, time, 60)
     hourly = sensor.groupBy(tag, hour.alias("_hour")).agg(F.avg(value).alias("_v"))
     return hourly.groupBy(
         labels.book_date_of(F.col("_hour")).alias("book_date"),
@@ -126,15 +127,14 @@ def pivot_shift_features(
     tag: str = "tag",
 ) -> DataFrame:
     """One row per shift, columns ``{prefix}_{tag}_{stat}``."""
+    cell = F.struct(*stats)
     wide = (
-        features.groupBy("book_date", "block")
-        .pivot(tag, list(tags))
-        .agg(*[F.first(s).alias(s) for s in stats])
+        features.groupBy("book_date", "block").pivot(tag, list(tags)).agg(F.first(cell))
     )
     return wide.select(
         "book_date",
         "block",
-        *[F.col(f"`{t}_{s}`").alias(f"{prefix}_{t}_{s}") for t in tags for s in stats],
+        *[F.col(f"`{t}`.{s}").alias(f"{prefix}_{t}_{s}") for t in tags for s in stats],
     )
 
 

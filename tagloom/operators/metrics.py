@@ -88,11 +88,11 @@ def wide_summary(metrics: DataFrame, experiment: list[str], models: dict[str, st
     wide = (
         metrics.groupBy(*experiment)
         .pivot("model", list(models))
-        .agg(*[F.first(m).alias(m) for m in METRICS])
+        .agg(F.first(F.struct(*METRICS)))
     )
     return wide.select(
         *experiment,
-        *[F.col(f"`{k}_{m}`").alias(f"{s}_{m}") for k, s in models.items() for m in METRICS],
+        *[F.col(f"`{k}`.{m}").alias(f"{s}_{m}") for k, s in models.items() for m in METRICS],
     )
 
 

@@ -293,12 +293,12 @@ def pivot_window_features(
         features.withColumn("_cell", cell)
         .groupBy(anchor_id)
         .pivot("_cell", [f"{w}__{t}" for w in windows for t in tags])
-        .agg(*[F.first(s).alias(s) for s in stats])
+        .agg(F.first(F.struct(*stats)))
     )
     return wide.select(
         anchor_id,
         *[
-            F.col(f"{w}__{t}_{s}").alias(f"{w}__{s}__{t}")
+            F.col(f"`{w}__{t}`.{s}").alias(f"{w}__{s}__{t}")
             for w in windows
             for s in stats
             for t in tags
