@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import math
 from collections.abc import Sequence
 
 from pyspark.ml.feature import VectorAssembler
@@ -13,6 +14,8 @@ from tagloom.models.specs import SEED, UNLIMITED_DEPTH, Spec
 from tagloom.operators.ranks import over_series
 from tagloom.sources.staging import shared_folder
 
+ROWS_PER_PARTITION = 50_000
+
 
 class NaiveMean:
     """Predicts the mean of the training label."""
@@ -30,11 +33,13 @@ def assemble(
     """Add the ``features`` vector and a double ``label``; rows without a label are dropped.
 
     With ``order`` (unique ids) rows are laid out the same way on every run, so that a seed always
-    draws the same samples.
+    draws the same samples. Tree learners keep statistics of all open nodes per partition, so a
+    small table gets few partitions and a large one the session's shuffle partitions.
     """
     rows = df.where(F.col(label).isNotNull())
     if order:
-        parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        most = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        parts = max(1, min(most, math.ceil(rows.count() / ROWS_PER_PARTITION)))
         rows = rows.repartition(parts, *order).sortWithinPartitions(*order)
     vector = VectorAssembler(inputCols=list(features), outputCol="features", handleInvalid="error")
     return vector.transform(rows.withColumn("label", F.col(label).cast("double")))

@@ -14,6 +14,7 @@ from tagloom.plans import inputs as src
 from tagloom.plans.inputs import EVENT_ORDER, table
 from tagloom.plans.ordering import DAILY_SIGNALS, FOLDS_SQL, event_folds
 from tagloom.plans.registry import query, r6, rounded
+from tagloom.sources.staging import stage
 
 LABEL = "total_cents"
 NEAR = ["n_orders", "n_customers", "max_cents"]
@@ -23,9 +24,14 @@ ROUNDED = ("mae", "rmse", "r2")
 
 
 def _daily(spark, d):
-    """Daily order totals with lags; the label is in millions to keep numbers readable."""
+    """Daily order totals with lags, written once; the label is in millions.
+
+    An experiment passes over its feature table many times, so it is a table of its own.
+    """
     rows = temporal_features(src.daily(spark, d), ["day"], signals=DAILY_SIGNALS)
-    return rows.withColumns({LABEL: F.col(LABEL) / 1e8, "top_order": F.col("max_cents") / 1e6})
+    return stage(
+        rows.withColumns({LABEL: F.col(LABEL) / 1e8, "top_order": F.col("max_cents") / 1e6})
+    )
 
 
 def _split(spark, d):
@@ -38,12 +44,12 @@ def _predict(spark, d, name):
 
 @query("rf_predict")
 def rf_predict(spark, d):
-    return _predict(spark, d, "rf_v6")
+    return _predict(spark, d, "rf_quick")
 
 
 @query("gbt_predict")
 def gbt_predict(spark, d):
-    return _predict(spark, d, "gb_default")
+    return _predict(spark, d, "gb_quick")
 
 
 @query("elasticnet_predict")
@@ -53,7 +59,7 @@ def elasticnet_predict(spark, d):
 
 @query("rf_importance")
 def rf_importance(spark, d):
-    return ex.fit_importance(_split(spark, d), FEATURES, LABEL, SPECS["rf_small"], ["day"])
+    return ex.fit_importance(_split(spark, d), FEATURES, LABEL, SPECS["rf_quick"], ["day"])
 
 
 @query(
@@ -104,19 +110,19 @@ def persistence_metrics(spark, d):
 
 @query("run_grid")
 def run_grid(spark, d):
-    specs = [SPECS[n] for n in ("rf_v6", "gb_default", "ridge", "naive_mean")]
+    specs = [SPECS[n] for n in ("rf_quick", "gb_quick", "ridge", "naive_mean")]
     return ex.run_grid(_split(spark, d), FEATURES, LABEL, specs, ["day"])
 
 
 @query("topn_refit")
 def topn_refit(spark, d):
-    return ex.select_and_refit(_split(spark, d), FEATURES, LABEL, [3, 5, 8], SPECS["rf_small"], order=["day"])
+    return ex.select_and_refit(_split(spark, d), FEATURES, LABEL, [3, 5, 8], SPECS["rf_quick"], order=["day"])
 
 
 @query("walk_forward")
 def walk_forward(spark, d):
     folds = expanding_folds(_daily(spark, d), 4, "day")
-    return ex.walk_forward(folds, FEATURES, LABEL, SPECS["rf_small"], 4, order=["day"])[1]
+    return ex.walk_forward(folds, FEATURES, LABEL, SPECS["rf_quick"], 4, order=["day"])[1]
 
 
 @query(
@@ -133,19 +139,19 @@ def walk_forward_mean(spark, d):
 @query("transfer")
 def transfer(spark, d):
     """The importance ranking found on one label, used on another."""
-    ranked = ex.fit_importance(_split(spark, d), FEATURES, LABEL, SPECS["rf_small"], ["day"])
+    ranked = ex.fit_importance(_split(spark, d), FEATURES, LABEL, SPECS["rf_quick"], ["day"])
     features = ranked.selectExpr("rank AS pos", "feature")
     other = _daily(spark, d).drop("max_cents", "max_cents_lag1")
-    return ex.transfer(other, features, "top_order", SPECS["rf_small"], "day", [])[1]
+    return ex.transfer(other, features, "top_order", SPECS["rf_quick"], "day", [])[1]
 
 
 @query("compare_targets")
 def compare_targets(spark, d):
-    specs = [SPECS[n] for n in ("ridge", "elasticnet", "rf_v6")]
+    specs = [SPECS[n] for n in ("ridge", "elasticnet", "rf_quick")]
     return ex.compare_targets(_split(spark, d), [LABEL, "top_order"], ["n_orders", *PAST], specs, ["day"])[1]
 
 
 @query("ablation")
 def ablation(spark, d):
     sets = {"with_all": [], "without_orders": ["n_orders", "n_customers"]}
-    return ex.ablation(_split(spark, d), FEATURES, LABEL, [SPECS["rf_small"], SPECS["ridge"]], sets, ["day"])
+    return ex.ablation(_split(spark, d), FEATURES, LABEL, [SPECS["rf_quick"], SPECS["ridge"]], sets, ["day"])
