@@ -152,7 +152,7 @@ def metric_long(spark, d):
     return m.metric_long(src.metrics(spark, d, "model", "fold"), ["model", "fold"])
 
 
-@query("union_folds", f"WITH {src.PREDICTIONS_SQL} SELECT fold, model, count(*) AS n, sum(l_orderkey) AS keys FROM predictions GROUP BY ALL")
+@query("union_folds", f"WITH {src.PREDICTIONS_SQL} SELECT fold, model, count(*) AS n, CAST(sum(l_orderkey) AS BIGINT) AS keys FROM predictions GROUP BY ALL")
 def union_folds(spark, d):
     rows = src.predictions(spark, d).select("fold", "model", "l_orderkey")
     names = [r.fold for r in rows.select("fold").distinct().collect()]  # one per year
