@@ -167,7 +167,8 @@ def walk_forward(
 
     ``folds`` comes from ``expanding_folds``. With ``reselect=n`` each fold also picks its own ``n`` best
     features from its own past; without it the given features are used in every fold, which
-    leaks if they were picked on rows that later folds test on.
+    leaks if they were picked on rows that later folds test on. Every fold reads the table behind
+    ``folds`` again and caches only its own rows, so build the folds on a stored feature table.
     """
     spark = folds.sparkSession
 
@@ -189,15 +190,14 @@ def walk_forward(
                 train_size = train.count()
         return k, train_size, predict(model, test, ["fold", *keep])
 
-    with _cached(folds):
-        done = _each(spark, one, list(range(1, n_splits + 1)), parallel)
-        predictions = union_all([p for _, _, p in done])
-        sizes = spark.createDataFrame([(k, n) for k, n, _ in done], "fold int, train_size long")
-        metrics = _fixed(
-            sizes.join(regression_metrics(predictions, ["fold"]), "fold")
-            .withColumnRenamed("n", "test_size")
-            .withColumn("reselected", F.lit(reselect is not None))
-        )
+    done = _each(spark, one, list(range(1, n_splits + 1)), parallel)
+    predictions = union_all([p for _, _, p in done])
+    sizes = spark.createDataFrame([(k, n) for k, n, _ in done], "fold int, train_size long")
+    metrics = _fixed(
+        sizes.join(regression_metrics(predictions, ["fold"]), "fold")
+        .withColumnRenamed("n", "test_size")
+        .withColumn("reselected", F.lit(reselect is not None))
+    )
     return predictions, metrics
 
 

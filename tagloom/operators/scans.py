@@ -16,7 +16,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, Window, functions as F
 
-from tagloom.functions.timecols import MICROS_PER_MINUTE, floor_div, order_key
+from tagloom.functions.timecols import MICROS_PER_HOUR, MICROS_PER_MINUTE, floor_div, order_key
 from tagloom.operators.ranks import MAX_GROUP_ROWS, largest_group
 
 STATS = ("mean", "min", "max", "std", "last", "delta")
@@ -332,18 +332,22 @@ def asof_join(
     row_id: str = "row_id",
     value: str = "value",
     entity: Sequence[str] = (),
-    chunk_minutes: int = 60,
+    max_group_rows: int = MAX_GROUP_ROWS,
 ) -> DataFrame:
     """Most recent reading at or before every anchor, one row per anchor and tag.
 
-    ``value`` and ``value_time`` are null where there is none (within the tolerance). The tags are
-    given, as the columns of a table would be. Only the newest reading of a chunk is carried on.
+    ``value`` and ``age_micros`` are null where there is none (within the tolerance). The tags are
+    given, as the columns of a table would be. Only the newest reading of a chunk is carried on;
+    chunks are an hour, or 15 seconds when a counting pass finds an hour too big for one task.
     """
     entity = list(entity)
     keys = [*entity, tag]
-    chunk = chunk_minutes * MICROS_PER_MINUTE
-    readings = _readings(sensor, keys, time, row_id, value).where(F.col(tag).isin(*tags))
-    readings = readings.withColumn("_chunk", floor_div(F.col("_x"), chunk))
+    chunk = MICROS_PER_HOUR
+    plain = _readings(sensor, keys, time, row_id, value).where(F.col(tag).isin(*tags))
+    readings = plain.withColumn("_chunk", floor_div(F.col("_x"), chunk))
+    if largest_group(readings, [*keys, "_chunk"]) > max_group_rows:
+        chunk = MICROS_PER_HOUR // CHUNKS_PER_WINDOW
+        readings = plain.withColumn("_chunk", floor_div(F.col("_x"), chunk))
     ids = _anchor_ends(anchors, anchor_id, anchor_time, entity, 0)
     asked = (
         ids.drop(anchor_id)

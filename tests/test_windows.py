@@ -80,10 +80,12 @@ def test_range_join_equals_nested_loop(plant, limit):
     assert sorted((r.anchor_anchor_id, r.row_id) for r in got.collect()) == expected
 
 
+@pytest.mark.parametrize("limit", [10**6, 5])
 @pytest.mark.parametrize("tolerance", [None, 30])
-def test_asof(plant, tolerance):
+def test_asof(plant, tolerance, limit):
     readings, points, sensor, anchors = plant
-    got = {(r.anchor_id, r.tag): r.value for r in scans.asof_join(anchors, sensor, ["a", "b", "rare"], tolerance).collect()}
+    hits = scans.asof_join(anchors, sensor, ["a", "b", "rare"], tolerance, max_group_rows=limit)
+    got = {(r.anchor_id, r.tag): r.value for r in hits.collect()}
     assert len(got) == 3 * len(points)
     for a, _, t in points:
         for tag in ("a", "b", "rare"):
