@@ -77,6 +77,8 @@ def fit_model(train: DataFrame, spec: Spec):
         penalty = l1 + l2
         linear = LinearRegression(
             solver="normal",
+            tol=1e-12,
+            maxIter=1000,
             standardization=False,
             regParam=penalty,
             elasticNetParam=l1 / penalty if penalty else 0.0,

@@ -15,6 +15,7 @@ from tagloom.plans.inputs import EVENT_ORDER, table
 from tagloom.plans.ordering import DAILY_SIGNALS, FOLDS_SQL, event_folds
 from tagloom.plans.registry import query, r6, rounded
 from tagloom.sources.staging import stage
+from tagloom.sources.tables import ordered_distinct
 
 LABEL = "total_cents"
 NEAR = ["n_orders", "n_customers", "max_cents"]
@@ -52,9 +53,107 @@ def gbt_predict(spark, d):
     return _predict(spark, d, "gb_quick")
 
 
-@query("elasticnet_predict")
+DAYS_SQL = f"""{src.DAILY_SQL},
+numbered AS (SELECT *, row_number() OVER (ORDER BY day) AS rn, count(*) OVER () AS n FROM daily),
+days AS (SELECT day, rn, n, n_orders, n_customers, total_cents / 1e8 AS total, max_cents / 1e6 AS top_order,
+  CASE WHEN rn <= floor(n * (1 - CAST(0.2 AS DOUBLE))) THEN 'train' ELSE 'test' END AS part FROM numbered)"""
+
+
+def _line_sql(x: str, y: str, model: str, rows: str, group: str = "") -> str:
+    """Test predictions of a one-feature linear model in closed form, per group."""
+    slope = {
+        "ridge": "sxy / (sxx + 1)",
+        "elasticnet": "sign(sxy) * greatest(abs(sxy) / k - 0.5, 0) / (sxx / k + 0.5)",
+        "naive_mean": "0",
+    }[model]
+    key, using = (f"{group},", f"USING ({group})") if group else ("", "ON true")
+    return f"""SELECT t.*, {y} AS y_true, my + ({slope}) * ({x} - mx) AS y_pred FROM (SELECT * FROM {rows} WHERE part = 'test') t
+      JOIN (SELECT {key} count(*) AS k, avg({x}) AS mx, avg({y}) AS my, regr_sxy({y}, {x}) AS sxy, regr_sxx({y}, {x}) AS sxx
+            FROM {rows} WHERE part = 'train' {f"GROUP BY {group}" if group else ""}) f {using}"""
+
+
+@query(
+    "elasticnet_predict",
+    f"""WITH {DAYS_SQL} SELECT day, y_true, round(y_pred + 1e-9, 6) AS y_pred
+        FROM ({_line_sql("n_orders", "total", "elasticnet", "days")})""",
+)
 def elasticnet_predict(spark, d):
-    return _predict(spark, d, "elasticnet")
+    rows = ex.fit_predict(_split(spark, d), ["n_orders"], LABEL, SPECS["elasticnet"], ["day"], ["day"])
+    return rounded(rows, "y_pred")
+
+
+LINEAR = ("ridge", "elasticnet", "naive_mean")
+
+
+@query(
+    "run_grid_linear",
+    f"""WITH {DAYS_SQL}, predictions AS (
+        {" UNION ALL ".join(f"SELECT '{k}' AS run, y_true, y_pred FROM ({_line_sql('n_orders', 'total', k, 'days')})" for k in LINEAR)})
+        SELECT * FROM {src.metrics_sql('run')}""",
+)
+def run_grid_linear(spark, d):
+    grid = ex.run_grid(_split(spark, d), ["n_orders"], LABEL, [SPECS[k] for k in LINEAR], ["day"])
+    return rounded(grid, *ROUNDED).select("run", "n", *ROUNDED)
+
+
+@query(
+    "walk_forward_ridge",
+    f"""WITH {DAYS_SQL}, cuts AS (SELECT k AS fold, n - (4 - k + 1) * (n // 5) AS trains, n // 5 AS m
+          FROM (SELECT DISTINCT n FROM days), range(1, 5) t(k)),
+        folds AS (SELECT CAST(fold AS INTEGER) AS fold, n_orders, total, CASE WHEN rn <= trains THEN 'train' ELSE 'test' END AS part
+          FROM days JOIN cuts ON rn <= trains + m),
+        sizes AS (SELECT fold, count(*) AS train_size FROM folds WHERE part = 'train' GROUP BY fold),
+        predictions AS ({_line_sql("n_orders", "total", "ridge", "folds", "fold")})
+        SELECT fold, train_size, n AS test_size, mae, rmse, r2 FROM {src.metrics_sql('fold')} JOIN sizes USING (fold)""",
+)
+def walk_forward_ridge(spark, d):
+    folds = expanding_folds(_daily(spark, d), 4, "day")
+    metrics = ex.walk_forward(folds, ["n_orders"], LABEL, SPECS["ridge"], 4, order=["day"])[1]
+    return rounded(metrics, *ROUNDED).drop("reselected")
+
+
+@query(
+    "compare_targets_linear",
+    f"""WITH {DAYS_SQL}, predictions AS (
+        {" UNION ALL ".join(f"SELECT '{t}' AS target, '{k}' AS run, y_true, y_pred FROM ({_line_sql('n_customers', y, k, 'days')})"
+                            for t, y in (("total_cents", "total"), ("top_order", "top_order")) for k in ("ridge", "naive_mean"))})
+        SELECT target, run, n, mae, rmse, r2 FROM (SELECT *, row_number() OVER (PARTITION BY target ORDER BY mae) AS pick
+          FROM {src.metrics_sql('target, run')}) WHERE pick = 1""",
+)
+def compare_targets_linear(spark, d):
+    specs = [SPECS["ridge"], SPECS["naive_mean"]]
+    best = ex.compare_targets(_split(spark, d), [LABEL, "top_order"], ["n_customers"], specs, ["day"])[1]
+    return rounded(best, *ROUNDED).select("target", "run", "n", *ROUNDED)
+
+
+@query(
+    "ablation_linear",
+    f"""WITH {DAYS_SQL}, predictions AS (
+        SELECT 'without_customers' AS variant, y_true, y_pred FROM ({_line_sql("n_orders", "total", "ridge", "days")})
+        UNION ALL SELECT 'without_orders', y_true, y_pred FROM ({_line_sql("n_customers", "total", "ridge", "days")}))
+        SELECT * FROM {src.metrics_sql('variant')}""",
+)
+def ablation_linear(spark, d):
+    sets = {"without_customers": ["n_customers"], "without_orders": ["n_orders"]}
+    runs = ex.ablation(_split(spark, d), ["n_orders", "n_customers"], LABEL, [SPECS["ridge"]], sets, ["day"])
+    return rounded(runs, *ROUNDED).select("variant", "n", *ROUNDED)
+
+
+@query(
+    "transfer_ridge",
+    f"""WITH {DAYS_SQL}, cut AS (SELECT * EXCLUDE (part), CASE WHEN rn <= n - greatest(1, round_even(n * CAST(0.2 AS DOUBLE), 0))
+          THEN 'train' ELSE 'test' END AS part FROM days),
+        predictions AS ({_line_sql("n_orders", "top_order", "ridge", "cut")})
+        SELECT *, (SELECT count(DISTINCT o_orderpriority) + 1 FROM orders) AS n_requested_features, 1 AS n_found_features,
+          (SELECT count(DISTINCT o_orderpriority) FROM orders) AS n_missing_features FROM {src.metrics_sql('')}""",
+)
+def transfer_ridge(spark, d):
+    """A feature list found in the data, of which the daily table has one."""
+    names = F.explode(F.array(F.col("o_orderpriority"), F.lit("n_orders")))
+    listed = table(spark, d, "orders").select(names.alias("feature"), F.col("o_orderkey").alias("pos"))
+    features = ordered_distinct(listed, "feature", "pos")
+    metrics = ex.transfer(_daily(spark, d), features, "top_order", SPECS["ridge"], "day", [])[1]
+    return rounded(metrics, *ROUNDED).drop("run").withColumn("n_found_features", F.col("n_found_features").cast("int"))
 
 
 @query("rf_importance")
