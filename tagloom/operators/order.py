@@ -50,8 +50,9 @@ def time_split(
     if not keys:
         raise ValueError("a split needs a time column or id columns; tables have no row order")
     rows = require_columns(df, keys).dropna(subset=keys)
-    k = _train_rows(rows.count(), test_size, rounding)
-    [last_train] = boundary_keys(rows, keys, [k], finish_rows)
+    [last_train] = boundary_keys(
+        rows, keys, lambda n: [_train_rows(n, test_size, rounding)], finish_rows
+    )
     part = F.when(at_or_before(rows, keys, last_train), "train").otherwise("test")
     return rows.withColumn("part", part)
 
@@ -84,8 +85,7 @@ def expanding_folds(
     """
     keys = [time_col, *id_cols]
     rows = require_columns(df, keys).dropna(subset=keys)
-    _, trains = fold_bounds(rows.count(), n_splits)
-    bounds = boundary_keys(rows, keys, trains, finish_rows)
+    bounds = boundary_keys(rows, keys, lambda n: fold_bounds(n, n_splits)[1], finish_rows)
     # Slice 0 only trains; slice j is the test part of fold j and trains every later fold.
     slice_no = sum(
         (F.when(at_or_before(rows, keys, b), 0).otherwise(1) for b in bounds), F.lit(0)

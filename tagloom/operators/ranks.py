@@ -119,37 +119,46 @@ def order_statistics(
 
 
 def boundary_keys(
-    df: DataFrame, keys: list[str], ranks: list[int], finish_rows: int = FINISH_ROWS
+    df: DataFrame,
+    keys: list[str],
+    ranks: Callable[[int], list[int]],
+    finish_rows: int = FINISH_ROWS,
 ) -> list[tuple]:
-    """The composite key at each 1-based rank of ``df`` ordered by ``keys`` (nulls excluded).
+    """Composite keys at exact ranks of ``df`` ordered by ``keys`` (rows with null keys excluded).
 
-    Goes key by key: the rows that share the found values of the earlier keys are ranked by
-    the next one, so a time shared by a third of the table costs one more counting pass.
+    ``ranks`` maps the row count to 1-based ranks, so counting is part of the first pass. Goes key
+    by key: the rows that share the found values of the earlier keys are ranked by the next
+    one, so a time shared by a third of the table costs one more counting pass.
     """
     spark = df.sparkSession
-    numbered = df.select(*[order_key(df, k).alias(f"k{i}") for i, k in enumerate(keys)])
-    found: list[list] = [[] for _ in ranks]
-    remaining = list(ranks)
+    numbers = [order_key(df, k).alias(f"k{i}") for i, k in enumerate(keys)]
+    remaining: list[int] = []
+
+    def note_ranks(n: int) -> list[int]:
+        remaining[:] = ranks(n)
+        return list(remaining)
+
+    values = df.select(F.lit("all").alias("series"), numbers[0].alias("v"))
+    hits = order_statistics(values.where("v IS NOT NULL"), note_ranks, finish_rows).get("all")
+    if hits is None:
+        note_ranks(0)
+        raise ValueError("no rows to rank")
+    found: list[list] = [[] for _ in hits]
     for level in range(len(keys)):
-        key = F.col(f"k{level}")
-        if level == 0:
-            values = numbered.select(F.lit("all").alias("series"), key.alias("v"))
-            hits = order_statistics(values, lambda n: remaining, finish_rows)["all"]
-        else:
-            previous = [numbered.schema[f"k{i}"].dataType for i in range(level)]
+        if level > 0:
+            # A filter on the stored column lets the scan skip what cannot hold the first key.
+            first = {v[0]: key_literal(df.schema[keys[0]].dataType, v[0]) for v in found}
+            near = df.where(F.col(keys[0]).isin(*first.values())).select(*numbers)
             schema = T.StructType(
                 [T.StructField("series", T.StringType())]
-                + [T.StructField(f"k{i}", t) for i, t in enumerate(previous)]
+                + [T.StructField(f"k{i}", near.schema[f"k{i}"].dataType) for i in range(level)]
             )
             rows = [(str(i), *vals) for i, vals in enumerate(found)]
             fixed = F.broadcast(spark.createDataFrame(rows, schema))  # one row per rank
-            values = numbered.join(fixed, [f"k{i}" for i in range(level)]).select(
-                "series", key.alias("v")
+            ties = near.join(fixed, [f"k{i}" for i in range(level)]).select(
+                "series", F.col(f"k{level}").alias("v")
             )
-            hits = []
-            per_rank = _one_rank_per_series(values, remaining, finish_rows)
-            for i in range(len(ranks)):
-                hits.append(per_rank[str(i)])
+            hits = _one_rank_per_series(ties, remaining, finish_rows)
         for i, (value, below) in enumerate(hits):
             found[i].append(value)
             remaining[i] -= below
@@ -157,15 +166,10 @@ def boundary_keys(
 
 
 def _one_rank_per_series(values: DataFrame, ranks: list[int], finish_rows: int):
-    """Series are named "0".."k"; series i is asked for rank ranks[i] only."""
-    out = {}
+    """Series "0", "1", ... are asked for one rank each, ``ranks[i]``."""
     distinct = sorted(set(ranks))
-    found = order_statistics(
-        values, lambda n: [min(r, n) for r in distinct], finish_rows
-    )
-    for i, r in enumerate(ranks):
-        out[str(i)] = found[str(i)][distinct.index(r)]
-    return out
+    found = order_statistics(values, lambda n: [min(r, n) for r in distinct], finish_rows)
+    return [found[str(i)][distinct.index(r)] for i, r in enumerate(ranks)]
 
 
 def at_or_before(df: DataFrame, keys: list[str], boundary: tuple) -> Column:

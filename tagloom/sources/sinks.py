@@ -47,15 +47,11 @@ def run_info(
 
     ``fold_metrics`` has one row per fold, so the array is as long as the fold count.
     """
-    folds = fold_metrics.agg(
-        F.array_sort(F.collect_list(F.struct(*fold_metrics.columns))).alias("folds")
-    )
-    one = summary.agg(F.first(F.struct(*summary.columns)).alias("summary"))
-    header = [
-        (v if isinstance(v, Column) else F.lit(v)).alias(k) for k, v in settings.items()
-    ]
-    joined = folds.withColumn("_k", F.lit(1)).join(one.withColumn("_k", F.lit(1)), "_k").drop("_k")
-    return joined.select(*header, "folds", "summary")
+    folds = F.array_sort(F.collect_list(F.struct(*fold_metrics.columns)))
+    totals = summary.first().asDict()
+    header = [(v if isinstance(v, Column) else F.lit(v)).alias(k) for k, v in settings.items()]
+    whole = F.struct(*[F.lit(v).alias(k) for k, v in totals.items()])
+    return fold_metrics.agg(folds.alias("folds")).select(*header, "folds", whole.alias("summary"))
 
 
 def write_run_info(info: DataFrame, path: str, mode: str = "overwrite") -> None:
