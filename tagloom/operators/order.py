@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from tagloom.operators.columns import require_columns
@@ -31,6 +33,12 @@ def _train_rows(n: int, test_size: float, rounding: str) -> int:
     return k
 
 
+def _with_keys(df: DataFrame, keys: list[str]) -> DataFrame:
+    """Rows that have all order keys, as filters a scan can push down."""
+    require_columns(df, keys)
+    return df.where(reduce(lambda a, b: a & b, [F.col(k).isNotNull() for k in keys]))
+
+
 def time_split(
     df: DataFrame,
     time_col: str | None,
@@ -49,7 +57,7 @@ def time_split(
     keys = [*([time_col] if time_col else []), *id_cols]
     if not keys:
         raise ValueError("a split needs a time column or id columns; tables have no row order")
-    rows = require_columns(df, keys).dropna(subset=keys)
+    rows = _with_keys(df, keys)
     [last_train] = boundary_keys(
         rows, keys, lambda n: [_train_rows(n, test_size, rounding)], finish_rows
     )
@@ -84,7 +92,7 @@ def expanding_folds(
     Fold k tests the k-th of the last ``n_splits`` equal slices and trains on all rows before it.
     """
     keys = [time_col, *id_cols]
-    rows = require_columns(df, keys).dropna(subset=keys)
+    rows = _with_keys(df, keys)
     bounds = boundary_keys(rows, keys, lambda n: fold_bounds(n, n_splits)[1], finish_rows)
     # Slice 0 only trains; slice j is the test part of fold j and trains every later fold.
     slice_no = sum(

@@ -58,6 +58,12 @@ def _running(prefix: str, partition: list[str], order: str, frame: str, descendi
     ]
 
 
+def _center(partition: list[str], order: str) -> str:
+    """One value per partition; asked for in the order of the next window, to share its sort."""
+    frame = "ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING"
+    return f"min(mean) OVER (PARTITION BY {', '.join(partition)} ORDER BY {order} {frame}) AS _c"
+
+
 def _settle(prefix: str) -> list[str]:
     """Moments of the side an edge asks for, from both running scans."""
     picked = {m: f"if(side = 'late', u_{m}, d_{m})" for m in ("n", "d", "q", "lo", "hi", "first", "last")}
@@ -147,7 +153,7 @@ def _scan_blocks(rows: DataFrame, asked: DataFrame, named: list[str]) -> DataFra
     return (
         single.withColumn("side", F.lit(None).cast("string"))
         .unionByName(asked, allowMissingColumns=True)
-        .selectExpr("*", f"min(mean) OVER (PARTITION BY {', '.join(block)}) AS _c")
+        .selectExpr("*", _center(block, "_x, side NULLS FIRST, _id"))
         .selectExpr(*named, "_x", "side", "_c", *up, *down)
         .where("side IS NOT NULL")
         .selectExpr(*named, "_x", "side", *_settle(""))
@@ -167,7 +173,7 @@ def _scan_chunks(
     down = _running("d_", cell, "_x DESC, side NULLS LAST", RUNNING, True)
     scanned = (
         by_time.unionByName(asked, allowMissingColumns=True)
-        .selectExpr("*", f"min(mean) OVER (PARTITION BY {', '.join(cell)}) AS _c")
+        .selectExpr("*", _center(cell, "_x, side NULLS FIRST"))
         .selectExpr(*cell, "_x", "side", "_c", *up, *down)
         .where("side IS NOT NULL")
         .selectExpr(*cell, "_x", "side", *_settle("in_"))
@@ -179,7 +185,7 @@ def _scan_chunks(
         by_chunk.unionByName(
             asked.select(*keys, "_block", "_chunk", "side").distinct(), allowMissingColumns=True
         )
-        .selectExpr("*", f"min(mean) OVER (PARTITION BY {', '.join(block)}) AS _c")
+        .selectExpr("*", _center(block, "_chunk"))
         .selectExpr(*cell, "side", "_c", *before, *after)
         .where("side IS NOT NULL")
         .selectExpr(*cell, "side", *_settle("out_"))
