@@ -29,3 +29,12 @@ def op10(spark, d):
 
     found = find_passages(table(spark, d, "documents"), table(spark, d, "benchmark"))
     return found.select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
+
+
+@query("op4_packing")
+def op4(spark, d):
+    import public_tokenizers
+    from tagloom.llm.packing import pack_documents
+
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    return pack_documents(table(spark, d, "documents"), path)
