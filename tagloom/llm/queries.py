@@ -38,3 +38,10 @@ def op4(spark, d):
 
     path = public_tokenizers.path("byte_bpe_50k.json")
     return pack_documents(table(spark, d, "documents"), path)
+
+
+@query("op6_pii")
+def op6(spark, d):
+    from tagloom.llm.pii import find_personal_data
+
+    return find_personal_data(table(spark, d, "documents"))
