@@ -45,3 +45,12 @@ def op6(spark, d):
     from tagloom.llm.pii import find_personal_data
 
     return find_personal_data(table(spark, d, "documents"))
+
+
+@query("op2_compression_quality")
+def op2(spark, d):
+    from tagloom.llm.common import remainder
+    from tagloom.llm.compression_quality import fit, score
+
+    docs, held_out = table(spark, d, "documents"), remainder("doc_id", 3) == 1
+    return score(docs, fit(docs, table(spark, d, "labels"), ~held_out), held_out)
