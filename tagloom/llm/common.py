@@ -43,11 +43,11 @@ def remainder(id_col: Column | str, n: int) -> Column:
 
 
 def labelled_sample(
-    docs: DataFrame, labels: DataFrame, label: str, training: Column, per_class: int, max_chars: int = 100_000
+    docs: DataFrame, labels: DataFrame, label: str, training: Column, per_class: int | tuple[int, int], max_chars: int = 100_000
 ) -> DataFrame:
-    """At most ``per_class`` whole labelled texts of each class, chosen by a hash of the id.
+    """At most ``per_class`` whole labelled texts of each class (or of classes 0 and 1), chosen by a hash of the id.
 
-    ``training`` is a condition on ``doc_id``. The chosen ids (2 * per_class at most) are
+    ``training`` is a condition on ``doc_id``. The chosen ids are
     broadcast, so the texts are scanned once and not shuffled. Empty texts and texts over
     ``max_chars`` are left out, which bounds what a fit holds to 2 * per_class * max_chars
     characters. Returns doc_id, text, y (0/1).
@@ -60,8 +60,9 @@ def labelled_sample(
     )
     order = [F.xxhash64("doc_id", F.lit(7)), F.col("doc_id")]
     ids = None
+    sizes = per_class if isinstance(per_class, tuple) else (per_class, per_class)
     for y in (0, 1):
-        part = known.where(F.col("y") == y).orderBy(*order).limit(per_class)
+        part = known.where(F.col("y") == y).orderBy(*order).limit(sizes[y])
         ids = part if ids is None else ids.unionAll(part)
     ids = ids.collect()
     spark = docs.sparkSession

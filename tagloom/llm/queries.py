@@ -54,3 +54,12 @@ def op2(spark, d):
 
     docs, held_out = table(spark, d, "documents"), remainder("doc_id", 3) == 1
     return score(docs, fit(docs, table(spark, d, "labels"), ~held_out), held_out)
+
+
+@query("op3_toxicity")
+def op3(spark, d):
+    from tagloom.llm.common import remainder
+    from tagloom.llm.toxicity import fit, score
+
+    docs, held_out = table(spark, d, "documents"), remainder("doc_id", 5) == 0
+    return score(docs, fit(docs, table(spark, d, "labels"), ~held_out), held_out)
