@@ -63,3 +63,10 @@ def op3(spark, d):
 
     docs, held_out = table(spark, d, "documents"), remainder("doc_id", 5) == 0
     return score(docs, fit(docs, table(spark, d, "labels"), ~held_out), held_out)
+
+
+@query("op9_secrets")
+def op9(spark, d):
+    from tagloom.llm.secrets import find_secrets
+
+    return find_secrets(table(spark, d, "documents"))
