@@ -70,3 +70,17 @@ def op9(spark, d):
     from tagloom.llm.secrets import find_secrets
 
     return find_secrets(table(spark, d, "documents"))
+
+
+def _line_oracle() -> str:
+    from tagloom.llm.line_templates import ORACLE
+
+    return ORACLE
+
+
+@query("op1_line_templates", _line_oracle())
+def op1(spark, d):
+    from tagloom.llm.line_templates import line_report, repeated_lines
+
+    docs = table(spark, d, "documents")
+    return line_report(docs, repeated_lines(docs))
