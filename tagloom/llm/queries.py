@@ -84,3 +84,10 @@ def op1(spark, d):
 
     docs = table(spark, d, "documents")
     return line_report(docs, repeated_lines(docs))
+
+
+@query("op8_jaccard_join")
+def op8(spark, d):
+    from tagloom.llm.jaccard_join import jaccard_groups
+
+    return jaccard_groups(table(spark, d, "documents"))
