@@ -32,6 +32,22 @@ def map_arrow(df: DataFrame, make: Callable[[], Callable[[Iterator], Iterator]],
     return df.mapInArrow(run, schema)
 
 
+def where_text(docs: DataFrame, make: Callable[[], Callable[[list[str]], list[bool]]], text_col: str = "text") -> DataFrame:
+    """The rows of ``docs``, with all their columns, whose text passes the test that ``make()`` builds in a task.
+
+    The test gets the texts of a batch (null as empty). Nothing is shuffled.
+    """
+    at = docs.columns.index(text_col)
+
+    def run(batches):
+        passes = make()
+        for b in batches:
+            if b.num_rows:
+                yield b.filter(pa.array(passes([t or "" for t in b.column(at).to_pylist()]), pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def batch(schema: pa.Schema, **columns) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(columns[f.name], f.type) for f in schema], schema=schema)
 

@@ -17,7 +17,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from tagloom.llm.common import batch, map_arrow, texts
+from tagloom.llm.common import batch, map_arrow, texts, where_text
 
 #: Words are runs of digits, ASCII letters and everything beyond ASCII.
 _WORD = re.compile(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")
@@ -191,12 +191,8 @@ def _shard(phrases: Phrases, doc_words: list[list[bytes]]) -> tuple[list, list]:
     np.add.at(cover, at + phrases.lengths[which], -1)
     hit = where[np.flatnonzero(np.cumsum(cover)[:-1])]
     doc = np.searchsorted(starts, hit, side="right") - 1
-    for d in np.unique(doc):
-        hits[d] = hit[doc == d] - starts[d] if len(doc) < 1000 else None
-    if len(doc) >= 1000:
-        cuts = np.flatnonzero(np.diff(doc)) + 1
-        for piece in np.split(np.arange(len(doc)), cuts):
-            hits[doc[piece[0]]] = hit[piece] - starts[doc[piece[0]]]
+    for piece in np.split(np.arange(len(doc)), np.flatnonzero(np.diff(doc)) + 1):
+        hits[doc[piece[0]]] = hit[piece] - starts[doc[piece[0]]]
     pairs = np.unique(np.stack([np.searchsorted(starts, where[at], side="right") - 1, which]), axis=1)
     found: dict[int, set] = {}
     for d, w in pairs.T.tolist():
@@ -267,22 +263,57 @@ def find_passages(
     no part. Repeated document rows each give a row; repeated items count once by id. An empty
     benchmark hits nothing. Other columns are not read.
     """
-    spark = docs.sparkSession
     read = texts(docs, id_col, text_col)
-    bench = benchmark.select(F.col("item_id").cast("string").alias("item"), "text").dropna()
-    size = bench.agg(F.sum(F.length("text"))).first()[0] or 0
-    blocks = max(1, -(-size // block_chars))
+    blocks = _phrase_blocks(benchmark, window, block_chars)
+    if len(blocks) == 1:
+        return map_arrow(read, lambda p=blocks[0]: _finder(p.value, shard_words), SCHEMA)
     found = None
-    for k in range(blocks):
-        part = bench.where(F.pmod(F.xxhash64("item"), F.lit(blocks)) == k) if blocks > 1 else bench
-        phrases = spark.sparkContext.broadcast(Phrases([tuple(r) for r in part.collect()], window))
-        if blocks == 1:
-            return map_arrow(read, lambda p=phrases: _finder(p.value, shard_words), SCHEMA)
+    for phrases in blocks:
         one = map_arrow(read, lambda p=phrases: _word_hits(p.value, shard_words), _HITS)
         found = one if found is None else found.unionAll(one)
     return _merge_blocks(read, found)
 
 
+def _phrase_blocks(benchmark: DataFrame, window: int, block_chars: int) -> list:
+    """Broadcast windows of the benchmark, in as many blocks as its measured size asks for."""
+    bench = benchmark.select(F.col("item_id").cast("string").alias("item"), "text").dropna()
+    size = bench.agg(F.sum(F.length("text"))).first()[0] or 0
+    n = max(1, -(-size // block_chars))
+    context = benchmark.sparkSession.sparkContext
+    parts = [bench.where(F.pmod(F.xxhash64("item"), F.lit(n)) == k) for k in range(n)]
+    return [context.broadcast(Phrases([tuple(r) for r in part.collect()], window)) for part in parts]
+
+
+def keep_uncontaminated(
+    docs: DataFrame, benchmark: DataFrame, window: int = 13, shard_words: int = 500_000, block_chars: int = 50_000_000,
+    text_col: str = "text",
+) -> DataFrame:
+    """The rows of ``docs``, with all their columns, that are not contaminated; nothing is shuffled.
+
+    The blocks of a large benchmark are searched one after the other in the task.
+    """
+    blocks = _phrase_blocks(benchmark, window, block_chars)
+
+    def make():
+        def passes(raw):
+            out, at = [], 0
+            split = [words(t) for t in raw]
+            while at < len(split):
+                end, held = at, 0
+                while end < len(split) and held < shard_words:
+                    held, end = held + len(split[end]) + 1, end + 1
+                found = [_shard(p.value, split[at:end])[0] for p in blocks]
+                for k, w in enumerate(split[at:end]):
+                    n = len(np.unique(np.concatenate([np.asarray(f[k], np.int64) for f in found])))
+                    out.append(n == 0 or 20 * n < len(w))
+                at = end
+            return out
+
+        return passes
+
+    return where_text(docs, make, text_col)
+
+
 _HITS = "doc_id long, hit array<long>, items array<string>"
 
 

@@ -76,9 +76,9 @@ class Shingler:
 
 def class_of(shingles: np.ndarray) -> int:
     """A 64-bit name of a set."""
-    a = _mix(shingles).sum(dtype=np.uint64)
-    b = _mix(shingles * _M3 + _M1).sum(dtype=np.uint64)
-    return int(_mix(np.array([a + np.uint64(len(shingles))]) ^ (b * _M3)).view(np.int64)[0])
+    a = _mix(shingles).sum(dtype=np.uint64, keepdims=True)
+    b = _mix(shingles * _M3 + _M1).sum(dtype=np.uint64, keepdims=True)
+    return int(_mix((a + np.uint64(len(shingles))) ^ (b * _M3)).view(np.int64)[0])
 
 
 def _chunks(batches, rows: int = 2000):

@@ -107,8 +107,14 @@ def repeated_lines(
     return repeats.groupBy("doc_id").agg(F.collect_set("pos").alias("dropped"))
 
 
-def drop_lines(docs: DataFrame, repeats: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` with the same columns, its texts without the dropped lines. A null text stays null."""
+def drop_lines(
+    docs: DataFrame, repeats: DataFrame, drop_emptied: bool = False, id_col: str = "doc_id", text_col: str = "text"
+) -> DataFrame:
+    """``docs`` with the same columns, its texts without the dropped lines. A null text stays null.
+
+    ``drop_emptied`` leaves out the documents that lose lines and keep no word: all they hold stands
+    in earlier documents.
+    """
     fields = docs.schema
     drops = repeats.select(F.col("doc_id").alias("__id"), F.col("dropped").alias("__dropped"))
     joined = docs.join(drops, F.col(f"`{id_col}`").eqNullSafe(F.col("__id")), "left").drop("__id")
@@ -120,7 +126,10 @@ def drop_lines(docs: DataFrame, repeats: DataFrame, id_col: str = "doc_id", text
             drop = b.column(len(names)).to_pylist()
             kept = [t if t is None or not d else _kept(t, d)[0] for t, d in zip(b.column(at).to_pylist(), drop)]
             columns = [pa.array(kept, b.column(k).type) if k == at else b.column(k) for k in range(len(names))]
-            yield pa.RecordBatch.from_arrays(columns, names=names)
+            out = pa.RecordBatch.from_arrays(columns, names=names)
+            if drop_emptied:
+                out = out.filter(pa.array([not d or bool(t and t.split()) for t, d in zip(kept, drop)], pa.bool_()))
+            yield out
 
     return joined.mapInArrow(run, fields)
 

@@ -18,7 +18,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 
-from tagloom.llm.common import batch, labelled_sample, map_arrow, texts
+from tagloom.llm.common import batch, labelled_sample, map_arrow, texts, where_text
 from tagloom.llm.compression_quality import logistic
 
 SCHEMA = (
@@ -267,3 +267,13 @@ def score(docs: DataFrame, model: ToxicityModel, held_out: Column, id_col: str =
         return run
 
     return map_arrow(texts(docs, id_col, text_col).select("doc_id", "text", held_out.alias("held_out")), make, SCHEMA)
+
+
+def keep_clean(docs: DataFrame, model: ToxicityModel, threshold: float = 0.5, text_col: str = "text") -> DataFrame:
+    """The rows of ``docs``, with all their columns, that score below ``threshold``."""
+
+    def make():
+        features = ToxicityFeatures(list(model.entries))
+        return lambda raw: [model.score(x) < threshold for k in range(0, len(raw), 1000) for x in features.many(raw[k : k + 1000])]
+
+    return where_text(docs, make, text_col)
