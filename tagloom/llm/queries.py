@@ -91,3 +91,11 @@ def op8(spark, d):
     from tagloom.llm.jaccard_join import jaccard_groups
 
     return jaccard_groups(table(spark, d, "documents"))
+
+
+@query("op7_ngram_lm")
+def op7(spark, d):
+    from tagloom.llm.common import remainder
+    from tagloom.llm.ngram_lm import score_documents
+
+    return score_documents(table(spark, d, "documents"), remainder("doc_id", 7) == 2)
