@@ -99,3 +99,10 @@ def op7(spark, d):
     from tagloom.llm.ngram_lm import score_documents
 
     return score_documents(table(spark, d, "documents"), remainder("doc_id", 7) == 2)
+
+
+@query("op5_embedding_links")
+def op5(spark, d):
+    from tagloom.llm.embedding_links import link_embeddings
+
+    return link_embeddings(table(spark, d, "embeddings"))
