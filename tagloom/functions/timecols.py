@@ -32,6 +32,8 @@ def order_key(df: DataFrame, name: str) -> Column:
         return F.unix_date(c).cast("long") * F.lit(MICROS_PER_DAY)
     if isinstance(dtype, T.IntegralType):
         return c.cast("long")
+    if isinstance(dtype, T.DecimalType):
+        return c
     if isinstance(dtype, T.NumericType):
         return c.cast("double")
     raise TypeError(f"order key {name!r} must be numeric, date or timestamp, not {dtype.simpleString()}")

@@ -5,6 +5,7 @@ from __future__ import annotations
 import json
 import math
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.regression import GBTRegressor, LinearRegression, RandomForestRegressor
@@ -33,13 +34,12 @@ def assemble(
     """Add the ``features`` vector and a double ``label``; rows without a label are dropped.
 
     With ``order`` (unique ids) rows are laid out the same way on every run, so that a seed always
-    draws the same samples. Tree learners keep statistics of all open nodes per partition, so a
-    small table gets few partitions and a large one the session's shuffle partitions.
+    draws the same samples whatever the session's settings. Tree learners keep statistics of all
+    open nodes per partition, so there is one partition for every ``ROWS_PER_PARTITION`` rows.
     """
     rows = df.where(F.col(label).isNotNull())
     if order:
-        most = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-        parts = max(1, min(most, math.ceil(rows.count() / ROWS_PER_PARTITION)))
+        parts = max(1, math.ceil(rows.count() / ROWS_PER_PARTITION))
         rows = rows.repartition(parts, *order).sortWithinPartitions(*order)
     vector = VectorAssembler(inputCols=list(features), outputCol="features", handleInvalid="error")
     return vector.transform(rows.withColumn("label", F.col(label).cast("double")))
@@ -109,13 +109,20 @@ def params_json(spec: Spec) -> str:
 
 
 def naive_mean(df: DataFrame, label: str, group: Sequence[str] = ()) -> DataFrame:
-    """Test rows with the mean of their group's training label as ``y_pred``."""
+    """Test rows with the mean of their group's training label as ``y_pred``.
+
+    Rows without a group (null) are a group; a group without training rows predicts null.
+    """
     means = df.groupBy(*group).agg(
         F.avg(F.when(F.col("part") == "train", F.col(label))).alias("y_pred")
     )
     test = df.where("part = 'test'")
     if group:
-        return test.join(means, list(group)).withColumn("y_true", F.col(label))
+        # One row per group; the planner broadcasts it when it is small and splits skewed groups when not.
+        named = means.select(F.col("y_pred"), *[F.col(g).alias(f"_{g}") for g in group])
+        same = reduce(lambda a, b: a & b, [F.col(g).eqNullSafe(F.col(f"_{g}")) for g in group])
+        found = test.join(named, same, "left").drop(*[f"_{g}" for g in group])
+        return found.withColumn("y_true", F.col(label))
     [mean] = means.first()
     return test.withColumns({"y_true": F.col(label), "y_pred": F.lit(mean)})
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame, functions as F, types as T
 
 PREVIEW = 20
@@ -119,9 +121,12 @@ def column_names(df: DataFrame) -> DataFrame:
     return df.sparkSession.createDataFrame([(c,) for c in df.columns], "feature string")
 
 
-def reconcile_features(requested: DataFrame, df: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Rows of a feature list that exist as columns of ``df``, and those that do not."""
-    available = column_names(df)
+def reconcile_features(requested: DataFrame, df: DataFrame | Sequence[str]) -> tuple[DataFrame, DataFrame]:
+    """Rows of a feature list that exist as columns of ``df`` (or among names), and those that do not."""
+    if isinstance(df, DataFrame):
+        available = column_names(df)
+    else:
+        available = requested.sparkSession.createDataFrame([(n,) for n in df], "feature string")
     return (
         requested.join(available, "feature", "left_semi"),
         requested.join(available, "feature", "left_anti"),

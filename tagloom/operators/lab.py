@@ -123,14 +123,13 @@ def pivot_shift_features(
     features: DataFrame,
     tags: Sequence[str],
     stats: Sequence[str] = ("mean", "std", "min", "max"),
-    prefix: str = "k1",
+    *,
+    prefix: str,
     tag: str = "tag",
 ) -> DataFrame:
     """One row per shift, columns ``{prefix}_{tag}_{stat}``."""
     cell = F.struct(*stats)
-    wide = (
-        features.groupBy("book_date", "block").pivot(tag, list(tags)).agg(F.first(cell))
-    )
+    wide = features.groupBy("book_date", "block").pivot(tag, list(tags)).agg(F.max(cell))
     return wide.select(
         "book_date",
         "block",

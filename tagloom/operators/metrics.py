@@ -88,7 +88,7 @@ def wide_summary(metrics: DataFrame, experiment: list[str], models: dict[str, st
     wide = (
         metrics.groupBy(*experiment)
         .pivot("model", list(models))
-        .agg(F.first(F.struct(*METRICS)))
+        .agg(F.max(F.struct(*METRICS)))
     )
     return wide.select(
         *experiment,

@@ -39,6 +39,24 @@ def _with_keys(df: DataFrame, keys: list[str]) -> DataFrame:
     return df.where(reduce(lambda a, b: a & b, [F.col(k).isNotNull() for k in keys]))
 
 
+def _boundaries(rows: DataFrame, keys: list[str], ranks, finish_rows: int) -> list[tuple]:
+    """The last key of each of the first parts; an error where ties straddle a boundary."""
+    asked: list[int] = []
+
+    def note(n: int) -> list[int]:
+        asked[:] = ranks(n)
+        return list(asked)
+
+    bounds = boundary_keys(rows, keys, note, finish_rows)
+    upto = rows.agg(*[F.count_if(at_or_before(rows, keys, b)).alias(f"n{i}") for i, b in enumerate(bounds)]).first()
+    for n, want, bound in zip(upto, asked, bounds):
+        if n != want:
+            raise ValueError(
+                f"{n} rows lie at or before {bound}, {want} were asked for: rows tie in {keys}; add ids that make them unique"
+            )
+    return bounds
+
+
 def time_split(
     df: DataFrame,
     time_col: str | None,
@@ -49,8 +67,10 @@ def time_split(
 ) -> DataFrame:
     """Add ``part``: the first rows by (time, ids) are 'train', the rest 'test'.
 
-    ``time_col=None`` splits by the declared ids alone. Rows without a time are dropped. Only
-    the key of the last train row is looked up, so the rows themselves are never moved.
+    ``time_col=None`` splits by the declared ids alone; ids may be numbers, times or texts. Rows
+    without a time are dropped. Only the key of the last train row is looked up, so the rows
+    themselves are never moved. Rows that tie at the boundary are an error, as a table has no
+    order of its own to break ties with.
     """
     if not 0 < test_size < 1:
         raise ValueError("test_size must lie between 0 and 1")
@@ -58,9 +78,7 @@ def time_split(
     if not keys:
         raise ValueError("a split needs a time column or id columns; tables have no row order")
     rows = _with_keys(df, keys)
-    [last_train] = boundary_keys(
-        rows, keys, lambda n: [_train_rows(n, test_size, rounding)], finish_rows
-    )
+    [last_train] = _boundaries(rows, keys, lambda n: [_train_rows(n, test_size, rounding)], finish_rows)
     part = F.when(at_or_before(rows, keys, last_train), "train").otherwise("test")
     return rows.withColumn("part", part)
 
@@ -93,7 +111,7 @@ def expanding_folds(
     """
     keys = [time_col, *id_cols]
     rows = _with_keys(df, keys)
-    bounds = boundary_keys(rows, keys, lambda n: fold_bounds(n, n_splits)[1], finish_rows)
+    bounds = _boundaries(rows, keys, lambda n: fold_bounds(n, n_splits)[1], finish_rows)
     # Slice 0 only trains; slice j is the test part of fold j and trains every later fold.
     slice_no = sum(
         (F.when(at_or_before(rows, keys, b), 0).otherwise(1) for b in bounds), F.lit(0)

@@ -92,9 +92,12 @@ def order_statistics(
                 searches[r.req].below += r.under
         large = [(i, s) for i, s in todo if s.rows > finish_rows]
         if large:
-            bins = max(16, min(4096, MAX_BIN_ROWS // len(large)))
+            bins = max(2, min(4096, MAX_BIN_ROWS // len(large)))
             v, lo, hi = (F.col(c).cast("double") for c in ("v", "lo", "hi"))
-            spread = F.when(hi > lo, F.floor((v - lo) / (hi - lo) * bins).cast("double")).otherwise(
+            # Where the whole interval overflows a double, halves of it do not.
+            whole, half = hi - lo, hi / 2 - lo / 2
+            place = F.when(whole < F.lit(float("inf")), (v - lo) / whole).otherwise((v / 2 - lo / 2) / half)
+            spread = F.when(hi > lo, F.floor(place * bins).cast("double")).otherwise(
                 (F.col("v") - F.col("lo")).cast("double")
             )
             counted = (
@@ -109,6 +112,8 @@ def order_statistics(
             for i, s in large:
                 for r in sorted(by_search[i], key=lambda r: r.lo):
                     if s.rank <= s.below + r.n:
+                        if (s.low, s.high, s.rows) == (r.lo, r.hi, r.n):
+                            raise RuntimeError(f"values of {s.series} between {r.lo} and {r.hi} cannot be told apart")
                         s.low, s.high, s.rows = r.lo, r.hi, r.n
                         break
                     s.below += r.n
@@ -131,6 +136,8 @@ def boundary_keys(
     one, so a time shared by a third of the table costs one more counting pass.
     """
     spark = df.sparkSession
+    if any(isinstance(df.schema[k].dataType, T.StringType) for k in keys):
+        return _with_text_keys(df, keys, ranks, finish_rows)
     numbers = [order_key(df, k).alias(f"k{i}") for i, k in enumerate(keys)]
     remaining: list[int] = []
 
@@ -165,6 +172,48 @@ def boundary_keys(
     return [tuple(vals) for vals in found]
 
 
+TEXT_BYTES = 7  # bytes of a text that fit one long
+
+
+def _with_text_keys(df: DataFrame, keys: list[str], ranks, finish_rows: int) -> list[tuple]:
+    """Boundary keys where some keys are texts.
+
+    A text becomes numbers of seven bytes each that sort as its bytes do, and its length. The number
+    of pieces is that of the longest text, found in one narrow pass.
+    """
+    texts = [k for k in keys if isinstance(df.schema[k].dataType, T.StringType)]
+    sizes = df.agg(*[F.max(F.octet_length(k)).alias(f"n{i}") for i, k in enumerate(texts)]).first()
+    pieces = {k: max(1, -(-(sizes[i] or 0) // TEXT_BYTES)) for i, k in enumerate(texts)}
+    columns, names = [], []
+    for i, k in enumerate(keys):
+        if k not in pieces:
+            columns.append(F.col(k).alias(f"p{i}"))
+            names.append([f"p{i}"])
+            continue
+        raw = F.encode(F.col(k), "utf-8")
+        own = []
+        for j in range(pieces[k]):
+            part = F.rpad(F.hex(F.substring(raw, TEXT_BYTES * j + 1, TEXT_BYTES)), 2 * TEXT_BYTES, "0")
+            own.append(f"p{i}_{j}")
+            columns.append(F.conv(part, 16, 10).cast("long").alias(own[-1]))
+        own.append(f"p{i}_n")
+        columns.append(F.octet_length(k).cast("long").alias(own[-1]))
+        names.append(own)
+    flat = boundary_keys(df.select(*columns), [n for own in names for n in own], ranks, finish_rows)
+    found = []
+    for values in flat:
+        left, key = list(values), []
+        for k, own in zip(keys, names):
+            mine, left = left[: len(own)], left[len(own) :]
+            if k in pieces:
+                raw = b"".join(int(v).to_bytes(TEXT_BYTES, "big") for v in mine[:-1])[: mine[-1]]
+                key.append(raw.decode("utf-8"))
+            else:
+                key.append(mine[0])
+        found.append(tuple(key))
+    return found
+
+
 def _one_rank_per_series(values: DataFrame, ranks: list[int], finish_rows: int):
     """Series "0", "1", ... are asked for one rank each, ``ranks[i]``."""
     distinct = sorted(set(ranks))

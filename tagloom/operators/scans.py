@@ -11,7 +11,6 @@ first, so the largest group is bounded by the clock's resolution, not by how hot
 
 from __future__ import annotations
 
-import math
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, Window, functions as F
@@ -42,15 +41,17 @@ def _moments(readings: DataFrame, keys: list[str]) -> DataFrame:
 def _running(prefix: str, partition: list[str], order: str, frame: str, descending: bool) -> list[str]:
     """Running sums over a window, from which ``_settle`` makes moments.
 
-    ``_c`` is one value of the partition; sums of squares are taken around it. ``first`` and
-    ``last`` stay in time order when the scan runs backwards.
+    Sums are taken around the first value of the scan (``_cu_`` or ``_cd_``). Every window that the scan
+    reads off holds that value, so readings outside a window cannot spoil its moments.
+    ``first`` and ``last`` stay in time order when the scan runs backwards.
     """
+    centre = f"_c{prefix}"
     over = f"OVER (PARTITION BY {', '.join(partition)} ORDER BY {order} {frame})"
     early, late = ("last", "first") if descending else ("first", "last")
     return [
         f"coalesce(sum(n) {over}, 0) AS {prefix}n",
-        f"sum(n * (mean - _c)) {over} AS {prefix}d",
-        f"sum(m2 + n * (mean - _c) * (mean - _c)) {over} AS {prefix}q",
+        f"sum(n * (mean - {centre})) {over} AS {prefix}d",
+        f"sum(m2 + n * (mean - {centre}) * (mean - {centre})) {over} AS {prefix}q",
         f"min(lo) {over} AS {prefix}lo",
         f"max(hi) {over} AS {prefix}hi",
         f"{early}(first, true) {over} AS {prefix}first",
@@ -58,10 +59,11 @@ def _running(prefix: str, partition: list[str], order: str, frame: str, descendi
     ]
 
 
-def _center(partition: list[str], order: str) -> str:
-    """One value per partition; asked for in the order of the next window, to share its sort."""
+def _centres(partition: list[str], order: str) -> list[str]:
+    """The first and the last value of a partition; asked for in the order of the next window, to share its sort."""
     frame = "ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING"
-    return f"min(mean) OVER (PARTITION BY {', '.join(partition)} ORDER BY {order} {frame}) AS _c"
+    over = f"OVER (PARTITION BY {', '.join(partition)} ORDER BY {order} {frame})"
+    return [f"first(mean, true) {over} AS _cu_", f"last(mean, true) {over} AS _cd_"]
 
 
 def _settle(prefix: str) -> list[str]:
@@ -70,7 +72,7 @@ def _settle(prefix: str) -> list[str]:
     n, d, q = picked["n"], picked["d"], picked["q"]
     return [
         f"{n} AS {prefix}n",
-        f"_c + {d} / nullif({n}, 0) AS {prefix}mean",
+        f"if(side = 'late', _cu_, _cd_) + {d} / nullif({n}, 0) AS {prefix}mean",
         f"if({n} > 0, greatest({q} - {d} * {d} / {n}, 0D), null) AS {prefix}m2",
         *[f"{picked[m]} AS {prefix}{m}" for m in ("lo", "hi", "first", "last")],
     ]
@@ -153,8 +155,8 @@ def _scan_blocks(rows: DataFrame, asked: DataFrame, named: list[str]) -> DataFra
     return (
         single.withColumn("side", F.lit(None).cast("string"))
         .unionByName(asked, allowMissingColumns=True)
-        .selectExpr("*", _center(block, "_x, side NULLS FIRST, _id"))
-        .selectExpr(*named, "_x", "side", "_c", *up, *down)
+        .selectExpr("*", *_centres(block, "_x, side NULLS FIRST, _id"))
+        .selectExpr(*named, "_x", "side", "_cu_", "_cd_", *up, *down)
         .where("side IS NOT NULL")
         .selectExpr(*named, "_x", "side", *_settle(""))
     )
@@ -173,8 +175,8 @@ def _scan_chunks(
     down = _running("d_", cell, "_x DESC, side NULLS LAST", RUNNING, True)
     scanned = (
         by_time.unionByName(asked, allowMissingColumns=True)
-        .selectExpr("*", _center(cell, "_x, side NULLS FIRST"))
-        .selectExpr(*cell, "_x", "side", "_c", *up, *down)
+        .selectExpr("*", *_centres(cell, "_x, side NULLS FIRST"))
+        .selectExpr(*cell, "_x", "side", "_cu_", "_cd_", *up, *down)
         .where("side IS NOT NULL")
         .selectExpr(*cell, "_x", "side", *_settle("in_"))
     )
@@ -185,8 +187,8 @@ def _scan_chunks(
         by_chunk.unionByName(
             asked.select(*keys, "_block", "_chunk", "side").distinct(), allowMissingColumns=True
         )
-        .selectExpr("*", _center(block, "_chunk"))
-        .selectExpr(*cell, "side", "_c", *before, *after)
+        .selectExpr("*", *_centres(block, "_chunk"))
+        .selectExpr(*cell, "side", "_cu_", "_cd_", *before, *after)
         .where("side IS NOT NULL")
         .selectExpr(*cell, "side", *_settle("out_"))
     )
@@ -203,7 +205,8 @@ def _readings(
     rows = sensor.select(
         *keys, order_key(sensor, time).alias("_x"), F.col(row_id).alias("_id"), v.alias("_v")
     )
-    return rows.where(F.col("_x").isNotNull() & F.col("_v").isNotNull() & ~F.isnan("_v"))
+    finite = ~F.isnan("_v") & (F.abs("_v") != F.lit(float("inf")))
+    return rows.where(F.col("_x").isNotNull() & F.col("_v").isNotNull() & finite)
 
 
 def _anchor_ends(
@@ -282,6 +285,11 @@ def window_counts(
     return found.select(anchor_id, F.coalesce("n", F.lit(0)).cast("long").alias(name))
 
 
+def window_feature_names(tags: Sequence[str], windows: Sequence[str], stats: Sequence[str] = STATS) -> list[str]:
+    """The columns ``pivot_window_features`` gives besides the anchor id."""
+    return [f"{w}__{s}__{t}" for w in windows for s in stats for t in tags]
+
+
 def pivot_window_features(
     features: DataFrame,
     tags: Sequence[str],
@@ -299,7 +307,7 @@ def pivot_window_features(
         features.withColumn("_cell", cell)
         .groupBy(anchor_id)
         .pivot("_cell", [f"{w}__{t}" for w in windows for t in tags])
-        .agg(F.first(F.struct(*stats)))
+        .agg(F.max(F.struct(*stats)))
     )
     return wide.select(
         anchor_id,
@@ -313,10 +321,10 @@ def pivot_window_features(
 
 
 def unpivot_window_features(wide: DataFrame, anchor_id: str = "anchor_id") -> DataFrame:
-    """Back to long form: anchor id, window, stat, tag, value (nulls left out)."""
-    names = [c for c in wide.columns if c.count("__") == 2]
+    """Back to long form: anchor id, window, stat, tag, value (nulls left out). Tags may hold ``__``."""
+    names = [c for c in wide.columns if len(p := c.split("__", 2)) == 3 and p[1] in STATS]
     long = wide.unpivot([anchor_id], names, "_name", "value").where(F.col("value").isNotNull())
-    part = F.split("_name", "__")
+    part = F.split("_name", "__", 3)
     return long.select(
         anchor_id,
         part.getItem(0).alias("window"),
@@ -342,8 +350,8 @@ def asof_join(
 ) -> DataFrame:
     """Most recent reading at or before every anchor, one row per anchor and tag.
 
-    ``value`` and ``age_micros`` are null where there is none (within the tolerance). The tags are
-    given, as the columns of a table would be. Only the newest reading of a chunk is carried on;
+    ``value`` and ``age_micros`` are null where there is none (within the tolerance) and for anchors
+    without a time. The tags are given, as the columns of a table would be. Only the newest reading of a chunk is carried on;
     chunks are an hour, or 15 seconds when a counting pass finds an hour too big for one task.
     """
     entity = list(entity)
@@ -386,7 +394,8 @@ def asof_join(
     if tolerance_minutes is not None:
         hit = F.when(hit["_x"] >= F.col("_x") - F.lit(tolerance_minutes * MICROS_PER_MINUTE), hit)
     found = scanned.join(carried, [*keys, "_chunk"]).select(*keys, "_x", hit.alias("hit"))
-    return ids.join(found, [*entity, "_x"]).select(
+    every = ids.withColumn(tag, F.explode(F.array(*[F.lit(t) for t in tags])))
+    return every.join(found, [*keys, "_x"], "left").select(
         anchor_id,
         tag,
         F.col("hit._v").alias("value"),
@@ -408,15 +417,21 @@ def range_join(
 
     The result is the matches themselves; to aggregate them use ``window_features`` or
     ``window_counts``, which never form them. Readings are keyed by time bucket, anchors by the
-    (two or three) buckets they reach, so only neighbours meet; a bucket too big for one task
-    is dealt out over salts. Reading columns keep their names, anchor columns get ``anchor_``.
+    (two or three) buckets they reach, so only neighbours meet. The readings of a bucket with more than
+    ``max_bucket_rows`` are dealt out over as many salts as it needs, and only the anchors that reach
+    this bucket are copied for them. Reading columns keep their names, anchor columns get ``anchor_``.
     """
     entity = list(entity)
     width = (from_minutes - to_minutes) * MICROS_PER_MINUTE
     rows = sensor.withColumn("_x", order_key(sensor, time))
-    rows = rows.withColumn("_bucket", floor_div(F.col("_x"), width))
-    salts = max(1, math.ceil(largest_group(rows, [*entity, "_bucket"]) / max_bucket_rows))
-    rows = rows.withColumn("_salt", F.pmod(F.xxhash64(*sensor.columns), F.lit(salts)))
+    rows = rows.withColumn("_bucket", floor_div(F.col("_x"), width)).where("_bucket IS NOT NULL")
+    buckets = [*entity, "_bucket"]
+    hot = rows.groupBy(*buckets).count().where(F.col("count") > max_bucket_rows)
+    hot = hot.select(*buckets, F.ceil(F.col("count") / max_bucket_rows).alias("_salts"))
+    salts = F.coalesce("_salts", F.lit(1).cast("long"))
+    place = F.xxhash64(F.spark_partition_id(), F.monotonically_increasing_id())
+    rows = rows.withColumn("_row", place).join(hot, buckets, "left")
+    rows = rows.withColumn("_salt", F.pmod(F.col("_row"), salts)).drop("_salts", "_row")
     end = order_key(anchors, anchor_time) - F.lit(to_minutes * MICROS_PER_MINUTE)
     points = anchors.select(
         *entity,
@@ -424,9 +439,8 @@ def range_join(
         end.alias("_end"),
     )
     reach = F.sequence(floor_div(F.col("_end") - F.lit(width), width), floor_div(F.col("_end"), width))
-    points = points.withColumn("_bucket", F.explode(reach)).withColumn(
-        "_salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(salts - 1).cast("long")))
-    )
+    points = points.withColumn("_bucket", F.explode(reach)).join(hot, buckets, "left")
+    points = points.withColumn("_salt", F.explode(F.sequence(F.lit(0).cast("long"), salts - 1))).drop("_salts")
     near = (F.col("_x") > F.col("_end") - F.lit(width)) & (F.col("_x") <= F.col("_end"))
     return (
         points.join(rows, [*entity, "_bucket", "_salt"])

@@ -8,7 +8,7 @@ from tagloom.functions.labels import proxy_time, shift_hour
 from tagloom.functions.timecols import coerce_timestamp
 from tagloom.operators import clean, columns, lab as lab_ops
 from tagloom.operators.metrics import column_profile, fold_summary
-from tagloom.operators.scans import pivot_window_features, window_features
+from tagloom.operators.scans import window_feature_names
 from tagloom.plans import inputs as src
 from tagloom.plans.inputs import table
 from tagloom.plans.registry import query, r6
@@ -112,11 +112,11 @@ def feature_rules(spark, d):
 
 @query(
     "prefix_plus_candidates",
-    """SELECT l_quantity AS k1_quantity, l_discount AS k1_discount, l_returnflag AS k1_note, l_tax AS cl_susp,
-       l_discount AS bf_moisture FROM lineitem""",
+    """SELECT l_quantity AS k1_quantity, l_discount AS k1_discount, l_returnflag AS k1_note, l_tax AS tax_share,
+       l_discount AS price_cut FROM lineitem""",
 )
 def prefix_plus_candidates(spark, d):
-    names = ["cl_susp", "co2_after_KLPK", "bf_moisture", "bf_chlorides"]
+    names = ["price_cut", "no_such_column", "tax_share"]
     return columns.select_prefix_plus(src.wide(spark, d), "k1_", names)
 
 
@@ -154,10 +154,8 @@ def _requested(spark, d):
 
 
 def _reconciled(spark, d):
-    features = window_features(src.anchors(spark, d), src.sensor(spark, d))
-    return columns.reconcile_features(
-        _requested(spark, d), pivot_window_features(features, src.TAGS, ["w60"])
-    )
+    names = window_feature_names(src.TAGS, ["w60"])
+    return columns.reconcile_features(_requested(spark, d), names)
 
 
 @query(
@@ -312,7 +310,7 @@ def shift_features(spark, d):
 )
 def merge_shift(spark, d):
     shifts = lab_ops.pivot_shift_features(
-        lab_ops.shift_features(src.sensor(spark, d)), src.TAGS, ["mean"]
+        lab_ops.shift_features(src.sensor(spark, d)), src.TAGS, ["mean"], prefix="k1"
     )
     merged = lab_ops.merge_shift(src.shift_anchors(spark, d), shifts)
     means = [f"k1_{t}_mean" for t in src.TAGS]

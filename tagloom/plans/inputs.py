@@ -38,7 +38,7 @@ anchors AS (SELECT event_id AS anchor_id, ts FROM events WHERE event_type = 'pur
 def lab_raw(spark, d) -> DataFrame:
     """One logbook row per order: lines 1-3 are the three readings, returned ones are text."""
     text = F.when(F.col("l_returnflag") == "R", "пер").otherwise(F.col("l_quantity").cast("string"))
-    lines = table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", text.alias("raw"))
+    lines = table(spark, d, "lineitem").where(F.col("l_linenumber") <= len(RAW)).select("l_orderkey", "l_linenumber", text.alias("raw"))
     readings = lines.groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(
         *[F.max(F.when(F.col("l_linenumber") == i + 1, F.col("raw"))).alias(c) for i, c in enumerate(RAW)]
     )
@@ -113,8 +113,8 @@ def wide(spark, d) -> DataFrame:
         "l_tax AS w60__last__tax",
         "l_tax AS w60__max__tax",
         "l_extendedprice AS w60__mean__Target_price",
-        "l_tax AS cl_susp",
-        "l_discount AS bf_moisture",
+        "l_tax AS tax_share",
+        "l_discount AS price_cut",
         "l_extendedprice AS target_value",
     )
 

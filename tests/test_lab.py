@@ -79,7 +79,7 @@ def test_shift_merge(spark):
         (date(2026, 1, 2), "night_20_08"): (4.0, 2.0, 6.0),
         (date(2026, 1, 2), "day_08_20"): (9.0, 9.0, 9.0),
     }
-    wide = lab.pivot_shift_features(shifts, ["a", "b"], ["mean"])
+    wide = lab.pivot_shift_features(shifts, ["a", "b"], ["mean"], prefix="k1")
     books = spark.createDataFrame(
         [(1, date(2026, 1, 2), "night_20_08"), (2, date(2026, 1, 5), "night_20_08")], "id int, book_date date, block string"
     )

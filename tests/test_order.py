@@ -71,9 +71,38 @@ def test_split_errors(spark):
     with pytest.raises(ValueError):
         order.time_split(df, "absent", id_cols=["id"])
     with pytest.raises(TypeError):
+        order.time_split(df.withColumn("s", F.array("id")), None, id_cols=["s"])
+    with pytest.raises(ValueError, match="tie"):
         order.time_split(df.withColumn("s", F.lit("x")), None, id_cols=["s"])
 
 
+def test_ties_at_the_boundary_are_an_error(spark):
+    df = spark.range(10).withColumn("t", F.lit(date(2024, 1, 1)))
+    with pytest.raises(ValueError, match="tie"):
+        order.time_split(df, "t", 0.2)
+    with pytest.raises(ValueError, match="tie"):
+        order.expanding_folds(df, 4, "t")
+    assert order.time_split(df, "t", 0.2, id_cols=["id"]).where("part = 'test'").count() == 2
+
+
+@pytest.mark.parametrize("finish", [50_000, 7])
+def test_text_and_decimal_ids(spark, finish):
+    rnd = random.Random(3)
+    texts = list({"".join(rnd.choices("abé\u4e2d-0", k=rnd.randrange(0, 20))) for _ in range(200)})
+    df = spark.createDataFrame([(t, i) for i, t in enumerate(texts)], "s string, i long")
+    got = {r.s for r in order.time_split(df, None, 0.3, id_cols=["s"], finish_rows=finish).where("part = 'train'").collect()}
+    assert got == set(sorted(texts, key=str.encode)[: int(len(texts) * 0.7)])
+    big = df.selectExpr("CAST('12000000000000000000' AS DECIMAL(38,0)) + i AS d")
+    assert order.time_split(big, None, 0.3, id_cols=["d"], finish_rows=finish).where("part = 'test'").count() == len(texts) - int(len(texts) * 0.7)
+
+
+def test_rank_search_ends_on_the_widest_doubles(spark):
+    values = [-1.7e308, 1.7e308, -1.0, 0.0, 5e-324, 1.0] * 20
+    df = spark.createDataFrame([("a", v) for v in values], "series string, v double")
+    found = ranks.order_statistics(df, lambda n: [1, n // 2, n], finish_rows=3)
+    assert [v for v, _ in found["a"]] == [sorted(values)[k] for k in (0, 59, 119)]
+
+
 def test_split_drops_missing_times(spark):
     df = spark.createDataFrame([(i, None if i < 5 else date(2024, 1, i)) for i in range(1, 15)], "id long, d date")
     got = order.time_split(df, "d", 0.2, id_cols=["id"])

@@ -114,3 +114,27 @@ def test_no_readings(spark, plant):
     assert scans.window_features(anchors, empty).count() == 0
     counts = scans.window_counts(anchors, empty)
     assert rows(counts) == sorted(((a, 0) for a, _, _ in points), key=str)
+
+
+def test_null_time_anchors_keep_their_rows(spark):
+    anchors = spark.createDataFrame([(1, None), (2, datetime(2024, 1, 1, 1))], "anchor_id long, ts timestamp_ntz")
+    sensor = spark.createDataFrame([("a", datetime(2024, 1, 1), 1, 5.0)], "tag string, ts timestamp_ntz, row_id long, value double")
+    got = sorted((r.anchor_id, r.tag, r.value) for r in scans.asof_join(anchors, sensor, ["a", "b"]).collect() if r.value)
+    assert got == [(2, "a", 5.0)] and scans.asof_join(anchors, sensor, ["a", "b"]).count() == 4
+
+
+@pytest.mark.parametrize("limit", [0, 1_000_000])
+@pytest.mark.parametrize("odd", [-1e9, float("-inf")])
+def test_readings_outside_the_window_do_not_spoil_it(spark, odd, limit):
+    start = datetime(2024, 1, 1)
+    rows = [("a", start, 0, odd)] + [("a", start + timedelta(minutes=31 + i), i + 1, i % 3 + 0.5) for i in range(25)]
+    sensor = spark.createDataFrame(rows, "tag string, ts timestamp_ntz, row_id long, value double")
+    anchors = spark.createDataFrame([(1, start + timedelta(minutes=90))], "anchor_id long, ts timestamp_ntz")
+    r = scans.window_features(anchors, sensor, [("w60", 60, 0)], max_group_rows=limit).first()
+    inside = [i % 3 + 0.5 for i in range(25)]
+    assert r.n == 25 and r["mean"] == pytest.approx(sum(inside) / 25) and r["std"] == pytest.approx(statistics.stdev(inside))
+
+
+def test_names_of_tags_with_underscores(spark):
+    wide = spark.createDataFrame([(1, 2.0, 3.0)], "anchor_id long, w60__mean__a__b double, other__x double")
+    assert [(r.tag, r.stat, r.value) for r in scans.unpivot_window_features(wide).collect()] == [("a__b", "mean", 2.0)]
