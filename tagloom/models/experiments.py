@@ -15,13 +15,16 @@ from pyspark.sql import DataFrame, functions as F
 
 from tagloom.models.fit import assemble, fit_model, importance, params_json, predict
 from tagloom.models.specs import SPECS, Spec
-from tagloom.operators.clean import null_non_finite
+from tagloom.operators.clean import null_non_finite, require_min_rows
 from tagloom.operators.columns import exclude_columns, feature_names, reconcile_features, validate_numeric
 from tagloom.operators.impute import fit_medians, impute_median
 from tagloom.operators.metrics import comparison_table, regression_metrics, union_all
 from tagloom.operators.order import best_by, time_split
+from tagloom.sources.staging import stage
 
 PARALLEL_FITS = 4
+# The fewest rows a transfer and a walk-forward run are allowed to start from.
+TRANSFER_ROWS, WALK_FORWARD_ROWS = 10, 20
 
 
 def _each(spark, work: Callable, items: Sequence, parallel: int) -> list:
@@ -95,9 +98,8 @@ def fit_predict(
     order: Sequence[str] = (),
 ) -> DataFrame:
     """Test predictions of one configuration."""
-    data = prepare(df, features, label, order)
-    with _cached(data):
-        model = fit_model(data.where("part = 'train'"), spec)
+    data = stage(prepare(df, features, label, order))  # read by the fit and, later, by the prediction
+    model = fit_model(data.where("part = 'train'"), spec)
     return predict(model, data.where("part = 'test'"), keep)
 
 
@@ -168,26 +170,25 @@ def walk_forward(
     ``folds`` comes from ``expanding_folds``. With ``reselect=n`` each fold also picks its own ``n`` best
     features from its own past; without it the given features are used in every fold, which
     leaks if they were picked on rows that later folds test on. Every fold reads the table behind
-    ``folds`` again and caches only its own rows, so build the folds on a stored feature table.
+    ``folds`` again and stores only its own rows, so build the folds on a stored feature table.
+    Fewer than ``WALK_FORWARD_ROWS`` rows are an error.
     """
     spark = folds.sparkSession
+    require_min_rows(folds.where(F.col("fold") == n_splits), WALK_FORWARD_ROWS)  # the last fold holds all rows
 
     def one(k: int):
         rows = folds.where(F.col("fold") == k).withColumnRenamed("role", "part")
-        data = prepare(rows, features, label, order)
-        with _cached(data):
-            train = data.where("part = 'train'")
-            model = fit_model(train, spec)
-            if reselect is None:
-                test = data.where("part = 'test'")
-                train_size = train.count()
-            else:
-                ranked = importance(spark, model, features).orderBy("rank").limit(reselect)
-                chosen = [r.feature for r in ranked.collect()]
-                again = assemble(data.drop("features", "label"), chosen, label, order)
-                model = fit_model(again.where("part = 'train'"), spec)
-                test = again.where("part = 'test'")
-                train_size = train.count()
+        data = stage(prepare(rows, features, label, order))  # read by the fits and, later, by the prediction
+        train = data.where("part = 'train'")
+        train_size = train.count()
+        model = fit_model(train, spec)
+        test = data.where("part = 'test'")
+        if reselect is not None:
+            ranked = importance(spark, model, features).orderBy("rank").limit(reselect)
+            chosen = [r.feature for r in ranked.collect()]
+            again = assemble(data.drop("features", "label"), chosen, label, order)
+            model = fit_model(again.where("part = 'train'"), spec)
+            test = again.where("part = 'test'")
         return k, train_size, predict(model, test, ["fold", *keep])
 
     done = _each(spark, one, list(range(1, n_splits + 1)), parallel)
@@ -213,8 +214,10 @@ def transfer(
 ) -> tuple[DataFrame, DataFrame]:
     """Use a frozen feature list on another table; returns (test predictions, metric row).
 
-    Features the table lacks are left out and counted; the test count is rounded.
+    Features the table lacks are left out and counted; the test count is rounded. Fewer than
+    ``TRANSFER_ROWS`` rows with a label are an error.
     """
+    require_min_rows(df.where(F.col(label).isNotNull()), TRANSFER_ROWS)
     found, _ = reconcile_features(feature_list, df)
     names = feature_names(found)
     requested = feature_list.count()

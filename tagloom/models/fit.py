@@ -51,6 +51,7 @@ def _tree_params(p: dict) -> dict:
         "minInstancesPerNode": p.get("min_leaf", 1),
         "featureSubsetStrategy": p.get("features", "all"),
         "subsamplingRate": p.get("rows", 1.0),
+        "maxBins": p.get("bins", 32),
         "seed": SEED,
     }
 
@@ -59,7 +60,8 @@ def fit_model(train: DataFrame, spec: Spec):
     """Fit one configuration on assembled training rows."""
     p = spec.params
     if spec.model == "random_forest":
-        return RandomForestRegressor(numTrees=p["trees"], **_tree_params(p)).fit(train)
+        forest = RandomForestRegressor(numTrees=p["trees"], bootstrap=p.get("bootstrap", True), **_tree_params(p))
+        return forest.fit(train)
     if spec.model == "gradient_boosting":
         spark = train.sparkSession
         if spark.sparkContext.getCheckpointDir() is None:

@@ -47,9 +47,6 @@ SPECS = {
         Spec("ridge", "ridge", {"alpha": 1.0}),
         Spec("elasticnet", "elasticnet", {"alpha": 1.0, "l1_ratio": 0.5}),
         Spec("naive_mean", "naive_mean"),
-        # Not published: small settings with which the registered queries stay quick.
-        Spec("rf_quick", "random_forest", {"trees": 20, "depth": 6, "min_leaf": 3}),
-        Spec("gb_quick", "gradient_boosting", {"trees": 20, "depth": 3, "rate": 0.1}),
     ]
 }
 

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from tagloom.models import experiments as ex
 from tagloom.models.fit import assemble, fit_model, naive_mean, persistence
-from tagloom.models.specs import SPECS
+from tagloom.models.specs import SPECS, Spec
 from tagloom.operators.metrics import regression_metrics
 from tagloom.operators.order import cutoff_split, expanding_folds, time_split
 from tagloom.operators.series import temporal_features
@@ -45,12 +45,12 @@ def _predict(spark, d, name):
 
 @query("rf_predict")
 def rf_predict(spark, d):
-    return _predict(spark, d, "rf_quick")
+    return _predict(spark, d, "rf_medium")
 
 
 @query("gbt_predict")
 def gbt_predict(spark, d):
-    return _predict(spark, d, "gb_quick")
+    return _predict(spark, d, "gb_default")
 
 
 DAYS_SQL = f"""{src.DAILY_SQL},
@@ -158,7 +158,7 @@ def transfer_ridge(spark, d):
 
 @query("rf_importance")
 def rf_importance(spark, d):
-    return ex.fit_importance(_split(spark, d), FEATURES, LABEL, SPECS["rf_quick"], ["day"])
+    return ex.fit_importance(_split(spark, d), FEATURES, LABEL, SPECS["rf_medium"], ["day"])
 
 
 @query(
@@ -207,21 +207,53 @@ def persistence_metrics(spark, d):
     )
 
 
+def _stump_sql(x: str, y: str) -> str:
+    """The best split of one feature with few values, and the means on its two sides."""
+    return f"""WITH rows AS (SELECT {x} AS x, {y} AS y FROM lineitem),
+        bars AS (SELECT x, lead(x) OVER (ORDER BY x) AS next FROM (SELECT DISTINCT x FROM rows)),
+        sides AS (SELECT (bars.x + next) / 2 AS bar, rows.x <= bars.x AS low, count(*) AS n, sum(y) AS s
+          FROM rows, bars WHERE next IS NOT NULL GROUP BY 1, 2),
+        gains AS (SELECT bar, sum(s * s / n) AS gain, max(s / n) FILTER (WHERE low) AS mean_low, max(s / n) FILTER (WHERE NOT low) AS mean_high
+          FROM sides GROUP BY bar)"""
+
+
+@query(
+    "stump_fit",
+    f"""{_stump_sql("l_linenumber", "l_extendedprice / 1000")} SELECT bar AS threshold, round(mean_low + 1e-9, 6) AS mean_low,
+        round(mean_high + 1e-9, 6) AS mean_high, CAST(1 AS DOUBLE) AS importance FROM gains ORDER BY gain DESC LIMIT 1""",
+)
+def stump_fit(spark, d):
+    """One tree of depth one over all rows: its split, its leaves and its importance have a closed form."""
+    lines = table(spark, d, "lineitem").select("l_linenumber", (F.col("l_extendedprice") / 1000).alias("y"))
+    spec = Spec("stump", "random_forest", {"trees": 1, "depth": 1, "bootstrap": False})
+    model = fit_model(assemble(lines, ["l_linenumber"], "y"), spec)
+    root = model.trees[0]._call_java("rootNode")
+    values = (root.split().threshold(), root.leftChild().prediction(), root.rightChild().prediction())
+    values += (float(model.featureImportances[0]),)
+    fitted = spark.createDataFrame([values], "threshold double, mean_low double, mean_high double, importance double")
+    # The rows are read once more, so that the split is checked against them and not only reported.
+    sides = lines.join(F.broadcast(fitted)).groupBy("threshold", "importance").agg(
+        F.max(F.when(F.col("l_linenumber") <= F.col("threshold"), F.col("mean_low"))).alias("mean_low"),
+        F.max(F.when(F.col("l_linenumber") > F.col("threshold"), F.col("mean_high"))).alias("mean_high"),
+    )
+    return rounded(sides, "mean_low", "mean_high")
+
+
 @query("run_grid")
 def run_grid(spark, d):
-    specs = [SPECS[n] for n in ("rf_quick", "gb_quick", "ridge", "naive_mean")]
+    specs = [SPECS[n] for n in ("gb_default", "ridge", "naive_mean")]
     return ex.run_grid(_split(spark, d), FEATURES, LABEL, specs, ["day"])
 
 
 @query("topn_refit")
 def topn_refit(spark, d):
-    return ex.select_and_refit(_split(spark, d), FEATURES, LABEL, [3, 5, 8], SPECS["rf_quick"], order=["day"])
+    return ex.select_and_refit(_split(spark, d), FEATURES, LABEL, [3, 5, 8], SPECS["gb_default"], order=["day"])
 
 
 @query("walk_forward")
 def walk_forward(spark, d):
     folds = expanding_folds(_daily(spark, d), 4, "day")
-    return ex.walk_forward(folds, FEATURES, LABEL, SPECS["rf_quick"], 4, order=["day"])[1]
+    return ex.walk_forward(folds, FEATURES, LABEL, SPECS["gb_default"], 4, order=["day"])[1]
 
 
 @query(
@@ -238,19 +270,19 @@ def walk_forward_mean(spark, d):
 @query("transfer")
 def transfer(spark, d):
     """The importance ranking found on one label, used on another."""
-    ranked = ex.fit_importance(_split(spark, d), FEATURES, LABEL, SPECS["rf_quick"], ["day"])
+    ranked = ex.fit_importance(_split(spark, d), FEATURES, LABEL, SPECS["gb_default"], ["day"])
     features = ranked.selectExpr("rank AS pos", "feature")
     other = _daily(spark, d).drop("max_cents", "max_cents_lag1")
-    return ex.transfer(other, features, "top_order", SPECS["rf_quick"], "day", [])[1]
+    return ex.transfer(other, features, "top_order", SPECS["gb_default"], "day", [])[1]
 
 
 @query("compare_targets")
 def compare_targets(spark, d):
-    specs = [SPECS[n] for n in ("ridge", "elasticnet", "rf_quick")]
+    specs = [SPECS[n] for n in ("ridge", "elasticnet", "gb_default")]
     return ex.compare_targets(_split(spark, d), [LABEL, "top_order"], ["n_orders", *PAST], specs, ["day"])[1]
 
 
 @query("ablation")
 def ablation(spark, d):
     sets = {"with_all": [], "without_orders": ["n_orders", "n_customers"]}
-    return ex.ablation(_split(spark, d), FEATURES, LABEL, [SPECS["rf_quick"], SPECS["ridge"]], sets, ["day"])
+    return ex.ablation(_split(spark, d), FEATURES, LABEL, [SPECS["gb_default"], SPECS["ridge"]], sets, ["day"])
