@@ -56,6 +56,19 @@ class WordHasher:
         return out, start, end
 
 
+def parts(texts: list[str], most: int = 3_000_000, rows: int = 2000) -> list[slice]:
+    """Runs of texts of about ``most`` characters in all (one text more at most), so that arrays stay small."""
+    out, first, held = [], 0, 0
+    for k, t in enumerate(texts):
+        held += len(t)
+        if held >= most or k + 1 - first >= rows:
+            out.append(slice(first, k + 1))
+            first, held = k + 1, 0
+    if first < len(texts):
+        out.append(slice(first, len(texts)))
+    return out
+
+
 def joined(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     """The UTF-8 bytes of texts, each closed by a line feed, and where each text ends."""
     parts = [t.encode("utf-8", "surrogatepass") for t in texts]

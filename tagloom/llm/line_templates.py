@@ -14,47 +14,41 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame, functions as F
 
 from tagloom.llm.common import batch, map_arrow, texts
+from tagloom.llm.hashing import WordHasher, joined, mix, parts
 
 DEPTH = 3
 MIN_TOKENS = 4
-FIELD = b"<*>"
-_DIGITS = frozenset(b"0123456789")
+#: The hash of a variable field.
+FIELD = np.uint64(0x27D4EB2F165667C5)
 _M1, _M2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
+_DIGIT = np.isin(np.arange(256), list(b"0123456789"))
 
 
-def _mix(x: np.ndarray) -> np.ndarray:
-    x = (x ^ (x >> np.uint64(31))) * _M1
-    return (x ^ (x >> np.uint64(29))) * _M2
-
-
-class TokenHashes:
-    """64-bit hashes of tokens, with a bounded memory; tokens with a digit share the field's hash."""
-
-    def __init__(self, remembered: int = 1_000_000):
-        self.known: dict[bytes, int] = {}
-        self.remembered = remembered
-
-    def many(self, tokens: list[bytes]) -> np.ndarray:
-        new = set(tokens) - self.known.keys()
-        if len(self.known) + len(new) > self.remembered:
-            self.known.clear()
-            new = set(tokens)
-        for t in new:
-            self.known[t] = xxhash.xxh64_intdigest(t if _DIGITS.isdisjoint(t) else FIELD)
-        return np.fromiter(map(self.known.__getitem__, tokens), np.uint64, len(tokens))
+def line_tokens(hasher: WordHasher, texts: list[str], min_tokens: int):
+    """(hashes, sizes, texts, numbers) of the lines with at least ``min_tokens`` tokens."""
+    raw, ends = joined(texts)
+    hashes, start, end = hasher(raw)
+    digits = np.concatenate([np.zeros(1, np.int32), np.cumsum(_DIGIT[raw], dtype=np.int32)])
+    hashes[digits[end] > digits[start]] = FIELD
+    feeds = np.flatnonzero(raw == 10)
+    line = np.searchsorted(feeds, start)
+    sizes = np.bincount(line, minlength=len(feeds))
+    text = np.searchsorted(ends, feeds, side="right")
+    number = np.arange(len(feeds)) - np.searchsorted(feeds, ends - np.diff(ends, prepend=0))[text]
+    keep = sizes >= min_tokens
+    return hashes[keep[line]], sizes[keep], text[keep], number[keep]
 
 
 def template_keys(hashes: np.ndarray, sizes: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
     """(line, key) of every template of lines given as joined token hashes and their sizes."""
     first = np.cumsum(sizes) - sizes
     place = np.arange(len(hashes)) - np.repeat(first, sizes)
-    placed = _mix(hashes + (place.astype(np.uint64) + np.uint64(1)) * _M2)
+    placed = mix(hashes + (place.astype(np.uint64) + np.uint64(1)) * _M2)
     sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(placed, dtype=np.uint64)])
-    whole = sums[first + sizes] - sums[first] + _mix(sizes.astype(np.uint64))
+    whole = sums[first + sizes] - sums[first] + mix(sizes.astype(np.uint64))
     width = sizes // 5
     fields = np.where(width > 0, -(-(sizes - depth) // np.maximum(width, 1)), 0)
     line = np.repeat(np.arange(len(sizes)), fields)
@@ -62,29 +56,23 @@ def template_keys(hashes: np.ndarray, sizes: np.ndarray, depth: int) -> tuple[np
     start = depth + number * width[line]
     end = np.minimum(start + width[line], sizes[line])
     hidden = sums[first[line] + end] - sums[first[line] + start]
-    with_field = _mix(whole[line] - hidden + (number.astype(np.uint64) + np.uint64(1)) * _M1)
-    return np.concatenate([np.arange(len(sizes)), line]), np.concatenate([_mix(whole), with_field]).view(np.int64)
+    with_field = mix(whole[line] - hidden + (number.astype(np.uint64) + np.uint64(1)) * _M1)
+    return np.concatenate([np.arange(len(sizes)), line]), np.concatenate([mix(whole), with_field]).view(np.int64)
 
 
 def _keys(depth: int, min_tokens: int):
     schema = pa.schema([("key", pa.int64()), ("doc_id", pa.int64()), ("pos", pa.int32())])
 
     def run(batches):
-        known = TokenHashes()
+        hasher = WordHasher(lower=False)
         for b in batches:
-            ids, raw = b.column(0).to_pylist(), b.column(1).to_pylist()
-            for at in range(0, len(ids), 2000):
-                tokens, sizes, doc, pos = [], [], [], []
-                for i, text in zip(ids[at : at + 2000], raw[at : at + 2000]):
-                    for k, line in enumerate(text.encode("utf-8", "surrogatepass").split(b"\n")):
-                        t = line.split()
-                        if len(t) >= min_tokens:
-                            tokens += t
-                            sizes.append(len(t)), doc.append(i), pos.append(k)
-                if sizes:
-                    line, key = template_keys(known.many(tokens), np.array(sizes), depth)
-                    owner = pa.array(doc, pa.int64()).take(pa.array(line))
-                    yield batch(schema, key=key, doc_id=owner, pos=np.array(pos, np.int32)[line])
+            ids, raw = b.column(0), b.column(1).to_pylist()
+            for part in parts(raw):
+                hashes, sizes, text, number = line_tokens(hasher, raw[part], min_tokens)
+                if len(sizes):
+                    line, key = template_keys(hashes, sizes, depth)
+                    owner = ids.take(pa.array(part.start + text[line]))
+                    yield batch(schema, key=key, doc_id=owner, pos=number[line].astype(np.int32))
 
     return run
 
