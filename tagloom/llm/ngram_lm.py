@@ -18,46 +18,32 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 import zstandard
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, functions as F
 
 from tagloom.llm.common import batch, map_arrow, texts
-from tagloom.llm.elias_fano import BigramTrie, quantise, restore
+from tagloom.llm.elias_fano import BigramTrie, restore
+from tagloom.llm.hashing import WordHasher, mix, parts, words_of
 from tagloom.sources.staging import stage
 
 #: Tokens of a block (one document more at most) and of a shard on average.
-BLOCK_TOKENS = 2_000_000
-SHARD_TOKENS = 4_000_000
+BLOCK_TOKENS = 1_000_000
+SHARD_TOKENS = 1_500_000
 #: Contexts that are spread over all shards, the most frequent ones; a bound of memory only.
 MOST_SPREAD = 200_000
-_M1, _M2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
-END = np.uint64(xxhash.xxh64_intdigest(b""))  # no word is empty
-
-
-def _mix(x: np.ndarray) -> np.ndarray:
-    x = (x ^ (x >> np.uint64(31))) * _M1
-    return (x ^ (x >> np.uint64(29))) * _M2
+END = np.uint64(0x27D4EB2F165667C5)
 
 
 class _Words:
     """Tokens of texts as 64-bit hashes, each text closed by END."""
 
-    def __init__(self, remembered: int = 1_000_000):
-        self.known: dict[bytes, int] = {}
-        self.remembered = remembered
+    def __init__(self):
+        self.hasher = WordHasher(lower=True)
 
     def many(self, raw: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        split = [t.encode("utf-8", "surrogatepass").lower().split() for t in raw]
-        words = [w for s in split for w in (*s, b"")]
-        new = set(words) - self.known.keys()
-        if len(self.known) + len(new) > self.remembered:
-            self.known.clear()
-            new = set(words)
-        self.known.update((w, xxhash.xxh64_intdigest(w)) for w in new)
-        sizes = np.array([len(s) + 1 for s in split], np.int64)
-        return np.fromiter(map(self.known.__getitem__, words), np.uint64, len(words)), sizes
+        hashes, sizes = words_of(self.hasher, raw)
+        return np.insert(hashes, np.cumsum(sizes), END), sizes + 1
 
 
 def _blocks(batches, tokens: int):
@@ -66,9 +52,9 @@ def _blocks(batches, tokens: int):
     count = 0
     for b in batches:
         ids, raw, out = (b.column(k).to_pylist() for k in range(3))
-        for at in range(0, len(ids), 1000):
-            h, sizes = words.many(raw[at : at + 1000])
-            held.append((ids[at : at + 1000], out[at : at + 1000], h, sizes))
+        for part in parts(raw):
+            h, sizes = words.many(raw[part])
+            held.append((ids[part], out[part], h, sizes))
             count += len(h)
             if count >= tokens:
                 yield _joined(number, held)
@@ -96,7 +82,7 @@ class _Block:
         v, w = word[pair // len(word)], word[pair % len(word)]
         spot = np.minimum(np.searchsorted(spread, v), max(0, len(spread) - 1))
         wide = spread[spot] == v if len(spread) else np.zeros(len(v), bool)
-        shard = (_mix(np.where(wide, v ^ _mix(w), v)) % np.uint64(shards)).astype(np.int64)
+        shard = (mix(np.where(wide, v ^ mix(w), v)) % np.uint64(shards)).astype(np.int64)
         order = np.lexsort((w, v, shard))
         self.shard, self.v, self.w = shard[order], v[order], w[order]
         self.wide, self.count = wide[order], count[order]
