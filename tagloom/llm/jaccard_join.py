@@ -1,14 +1,16 @@
 """Exact Jaccard join of documents on word shingles, as a blocked sparse matrix product.
 
-Documents are rows and shingles columns of an incidence matrix. Equal rows are one class. A pair
-that is similar enough must share ``EXTRA`` entries among the first few columns of either row
-(its prefix), if all rows order columns alike; very frequent columns come last. So only prefixes
-are multiplied. To keep the product of a large group of copies small it is taken in two steps:
-
-1. Every column links its classes to one leader. Pairs with enough common columns are verified and
-   give components.
-2. Of a column, only pairs between different components are still open. Their common columns are
-   added up, pairs below the bound that their sizes give are dropped, and the rest is verified.
+Documents are rows and shingles columns of an incidence matrix. Equal rows are one class. Two rows that
+are similar enough share ``EXTRA`` entries among the first few columns of either row (its prefix), if all
+rows order columns alike; very frequent columns come last. So only prefixes are multiplied, and rows
+with fewer shared columns are done. Of each shared column the class with most shared columns is
+the leader of the others.
+
+1. Leaders and their followers with enough common columns are verified and give components.
+2. Two classes of different components that share a column follow one leader. A leader's followers
+   are multiplied with each other in blocks: a pair's overlap is bounded by its sizes and by the columns
+   of one row whose bucket is empty in the other; pairs below the overlap that their sizes ask for are
+   dropped in the block, and the rest is verified.
 
 Each link lies within a component of the first step or is found in the second, so the components of
 all verified links are those of all links.
@@ -18,84 +20,86 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 import zstandard
 from pyspark.sql import DataFrame, functions as F
 
-from tagloom.llm.common import batch, map_arrow, texts
+from tagloom.llm.common import batch, conf, map_arrow, texts
 from tagloom.llm.components import components
+from tagloom.llm.hashing import WordHasher, mix, parts, words_of
 from tagloom.sources.staging import stage
 
-#: Common prefix columns a candidate pair needs (fewer only if its sizes allow no more).
-EXTRA = 3
+#: Common prefix columns that a similar pair must have (or all it needs, if its sizes allow fewer).
+EXTRA = 8
 #: The most columns put last as frequent. Results do not depend on it, only the number of candidates.
 MOST_FREQUENT = 1_000_000
 FREQUENT = 16
-#: Classes of a column in one block of the product.
-BLOCK = 20_000
-_M1, _M2, _M3 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x165667B19E3779F9)
-
-
-def _mix(x: np.ndarray) -> np.ndarray:
-    x = (x ^ (x >> np.uint64(31))) * _M1
-    return (x ^ (x >> np.uint64(29))) * _M2
+#: Followers of a leader in one block of the product.
+BLOCK = 10_000
+#: Buckets of a row's bit map, in bits.
+BUCKETS = 1024
+_M1, _M3 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0x165667B19E3779F9)
 
 
 class Shingler:
-    """Distinct shingles of texts as sorted 64-bit hashes; remembers words up to a bound."""
+    """Distinct shingles of texts as sorted 64-bit hashes."""
 
-    def __init__(self, size: int, remembered: int = 1_000_000):
-        self.size, self.remembered = size, remembered
-        self.known: dict[bytes, int] = {}
+    def __init__(self, size: int):
+        self.size, self.hasher = size, WordHasher(lower=True)
 
     def many(self, raw: list[str]) -> list[np.ndarray]:
-        split = [t.encode("utf-8", "surrogatepass").lower().split() for t in raw]
-        words = [w for s in split for w in s]
-        new = set(words) - self.known.keys()
-        if len(self.known) + len(new) > self.remembered:
-            self.known.clear()
-            new = set(words)
-        self.known.update((w, xxhash.xxh64_intdigest(w)) for w in new)
-        h = np.fromiter(map(self.known.__getitem__, words), np.uint64, len(words))
+        h, counts = words_of(self.hasher, raw)
         rolled = np.full(max(0, len(h) - self.size + 1), self.size, np.uint64)
         for k in range(self.size):
-            rolled = _mix(rolled + h[k : k + len(rolled)])
+            rolled = mix(rolled + h[k : k + len(rolled)])
         out, at = [], 0
-        for s in split:
-            n = len(s)
+        for n in counts.tolist():
             if n >= self.size:
-                out.append(np.unique(rolled[at : at + n - self.size + 1]))
+                one = np.sort(rolled[at : at + n - self.size + 1])
+                out.append(one[np.concatenate([[True], one[1:] != one[:-1]])])
             else:
                 one = np.full(min(n, 1), n, np.uint64)
                 for k in range(n):
-                    one = _mix(one + h[at + k])
+                    one = mix(one + h[at + k])
                 out.append(one)
             at += n
         return out
 
 
-def class_of(shingles: np.ndarray) -> int:
-    """A 64-bit name of a set."""
-    a = _mix(shingles).sum(dtype=np.uint64, keepdims=True)
-    b = _mix(shingles * _M3 + _M1).sum(dtype=np.uint64, keepdims=True)
-    return int(_mix((a + np.uint64(len(shingles))) ^ (b * _M3)).view(np.int64)[0])
+def classes_of(sets: list[np.ndarray]) -> np.ndarray:
+    """64-bit names of sets."""
+    sizes = np.fromiter(map(len, sets), np.int64, len(sets))
+    some, out = np.flatnonzero(sizes), np.zeros(len(sets), np.uint64)
+    if len(some):
+        flat, first = np.concatenate(sets), (np.cumsum(sizes) - sizes)[some]
+        a, b = np.add.reduceat(mix(flat), first), np.add.reduceat(mix(flat * _M3 + _M1), first)
+        out[some] = mix((a + sizes[some].astype(np.uint64)) ^ (b * _M3))
+    return out.view(np.int64)
 
 
-def _chunks(batches, rows: int = 2000):
+def _chunks(batches):
     for b in batches:
         ids, raw = b.column(0).to_pylist(), b.column(1).to_pylist()
-        for at in range(0, len(ids), rows):
-            yield ids[at : at + rows], raw[at : at + rows]
+        for part in parts(raw):
+            yield ids[part], raw[part]
+
+
+def _maps(sets: list[np.ndarray]) -> list[bytes]:
+    """Which buckets of the shingles' hashes a set fills."""
+    out = np.zeros((len(sets), BUCKETS), bool)
+    for k, s in enumerate(sets):
+        out[k, (s >> np.uint64(13)) % np.uint64(BUCKETS)] = True
+    packed = np.packbits(out, axis=1)
+    return [row.tobytes() for row in packed]
 
 
 def _sizes(size: int):
-    schema = pa.schema([("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("class", pa.int64())])
+    schema = pa.schema([("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("class", pa.int64()), ("map", pa.binary())])
 
     def run(batches):
         shingler = Shingler(size)
         for ids, raw in _chunks(batches):
             sets = shingler.many(raw)
-            yield batch(schema, doc_id=ids, n_shingles=[len(s) for s in sets], **{"class": [class_of(s) for s in sets]})
+            yield batch(schema, doc_id=ids, n_shingles=[len(s) for s in sets], map=_maps(sets), **{"class": classes_of(sets)})
 
     return run
 
@@ -113,8 +117,9 @@ def _frequent(size: int, chunk: int = 4_000_000):
             return batch(schema, shingle=values[several].view(np.int64), n=counts[several])
 
         for _, raw in _chunks(batches):
-            for s in shingler.many(raw):
-                if len(s) and (c := class_of(s)) not in seen:
+            sets = shingler.many(raw)
+            for s, c in zip(sets, classes_of(sets).tolist()):
+                if len(s) and c not in seen:
                     seen.add(c), held.append(s)
                     total += len(s)
             if total >= chunk:
@@ -134,9 +139,10 @@ def _prefixes(size: int, percent: int, frequent: np.ndarray):
         shingler, seen = Shingler(size), set()
         for _, raw in _chunks(batches):
             found, owners = [], []
-            for s in shingler.many(raw):
+            sets = shingler.many(raw)
+            for s, c in zip(sets, classes_of(sets).tolist()):
                 n = len(s)
-                if not n or (c := class_of(s)) in seen:
+                if not n or c in seen:
                     continue
                 seen.add(c)
                 take = min(n, n - (percent * n + 99) // 100 + EXTRA)
@@ -153,66 +159,50 @@ def _prefixes(size: int, percent: int, frequent: np.ndarray):
 
 
 def _cross_pairs(percent: int):
-    """(x, y, n): pairs of different components of sorted columns, with the columns they share here.
+    """(x, y): pairs of different components among a leader's followers whose overlap may be large enough.
 
-    Input rows are (shingle, low, high, side, class, n, component) in the order of the first three.
-    A column's block (low, high) pairs its two halves, or one half with itself.
+    Input rows are (leader, low, high, side, class, n, component, map) in the order of the first three.
+    A block (low, high) pairs two parts of the followers, or one part with itself.
     """
-    schema = pa.schema([("x", pa.int64()), ("y", pa.int64()), ("n", pa.int64())])
+    schema = pa.schema([("x", pa.int64()), ("y", pa.int64())])
 
-    def pairs_of(side, cls, n, comp):
-        same = side[0] == side[-1] and (side == side[0]).all()
+    def pairs_of(numbers, maps):
+        side, cls, n, comp = numbers
         order = np.argsort(n, kind="stable")
-        side, cls, n, comp = side[order], cls[order], n[order], comp[order]
-        # For each row, the rows after it that are not too large.
-        top = np.searchsorted(100 * n, 10_000 * n // percent, side="right") if len(n) > 1 else np.zeros(len(n), int)
-        for at in range(0, len(n), 512):
-            rows = np.arange(at, min(at + 512, len(n)))
+        side, cls, n, comp, maps = side[order], cls[order], n[order], comp[order], maps[order]
+        within = (side == side[0]).all()
+        top = np.searchsorted(n, 100 * n // percent, side="right")  # the rows that are not too large
+        for at in range(0, len(n), 256):
+            rows = np.arange(at, min(at + 256, len(n)))
             last = int(top[rows].max())
-            if last <= at + 1:
-                continue
             ok = comp[rows, None] != comp[None, at:last]
             ok &= np.arange(at, last)[None, :] > rows[:, None]
-            if not same:
+            if not within:
                 ok &= side[rows, None] != side[None, at:last]
             i, j = np.nonzero(ok)
-            yield cls[rows[i]], cls[at + j]
+            for k in range(0, len(i), 200_000):
+                a, b = rows[i[k : k + 200_000]], at + j[k : k + 200_000]
+                least = -(-percent * (n[a] + n[b]) // (100 + percent))
+                most_a = n[a] - np.bitwise_count(maps[a] & ~maps[b]).sum(1, dtype=np.int64)
+                most_b = n[b] - np.bitwise_count(maps[b] & ~maps[a]).sum(1, dtype=np.int64)
+                left = np.flatnonzero(np.minimum(most_a, most_b) >= least)
+                if len(left):
+                    x, y = cls[a[left]], cls[b[left]]
+                    yield batch(schema, x=np.minimum(x, y), y=np.maximum(x, y))
 
     def run(batches):
-        rest = None
-        held, count = [], 0
-
-        def flush():
-            x, y = (np.concatenate([h[k] for h in held]) for k in (0, 1))
-            low, high = np.minimum(x, y), np.maximum(x, y)
-            order = np.lexsort((high, low))
-            low, high = low[order], high[order]
-            new = np.flatnonzero(np.concatenate([[True], (np.diff(low) != 0) | (np.diff(high) != 0)]))
-            return batch(schema, x=low[new], y=high[new], n=np.diff(np.append(new, len(low))))
-
-        def groups(columns, final):
-            key = columns[:3]
-            change = np.flatnonzero((np.diff(key, axis=1) != 0).any(axis=0)) + 1
-            cuts = [0, *change.tolist(), key.shape[1]]
-            whole = len(cuts) - 1 if final else len(cuts) - 2
-            return [columns[:, a:b] for a, b in zip(cuts[:whole], cuts[1 : whole + 1])], columns[:, cuts[whole] :]
-
+        numbers, maps = np.zeros((7, 0), np.int64), np.zeros((0, BUCKETS // 64), np.uint64)
         for b in batches:
-            columns = np.stack([np.asarray(c) for c in b.columns])
-            columns = columns if rest is None else np.concatenate([rest, columns], axis=1)
-            ready, rest = groups(columns, False)
-            for g in ready:
-                for x, y in pairs_of(*g[3:]):
-                    held.append((x, y))
-                    count += len(x)
-                    if count >= 2_000_000:
-                        yield flush()
-                        held, count = [], 0
-        if rest is not None and rest.shape[1]:
-            for g in groups(rest, True)[0]:
-                held += list(pairs_of(*g[3:]))
-        if any(len(h[0]) for h in held):
-            yield flush()
+            new = np.stack([np.asarray(c) for c in b.columns[:7]])
+            numbers = np.concatenate([numbers, new], axis=1)
+            bits = np.frombuffer(b"".join(b.column(7).to_pylist()), np.uint64).reshape(-1, BUCKETS // 64)
+            maps = np.concatenate([maps, bits])
+            cuts = [0, *(np.flatnonzero((np.diff(numbers[:3], axis=1) != 0).any(axis=0)) + 1).tolist()]
+            for first, end in zip(cuts, cuts[1:]):
+                yield from pairs_of(numbers[3:, first:end], maps[first:end])
+            numbers, maps = numbers[:, cuts[-1] :], maps[cuts[-1] :]
+        if numbers.shape[1]:
+            yield from pairs_of(numbers[3:], maps)
 
     return run
 
@@ -223,15 +213,20 @@ def _similar(size: int, percent: int):
     def run(batches):
         shingler, unpack = Shingler(size), zstandard.ZstdDecompressor()
         last: tuple = (None, None)
+
+        def text(packed: bytes) -> str:
+            return unpack.decompress(packed).decode("utf-8", "surrogatepass")
+
         for b in batches:
-            xs, ys, left, right = (b.column(k).to_pylist() for k in range(4))
+            xs, ys = b.column(0).to_pylist(), b.column(1).to_pylist()
             found = []
-            for at in range(0, len(xs), 500):
-                part = slice(at, at + 500)
-                sets = shingler.many([unpack.decompress(z).decode("utf-8", "surrogatepass") for z in right[part]])
-                for x, y, z, t in zip(xs[part], ys[part], left[part], sets):
+            for at in range(0, len(xs), 50):
+                right = [text(z) for z in b.column(3).slice(at, 50).to_pylist()]
+                sets = [s for part in parts(right) for s in shingler.many(right[part])]
+                for k, t in enumerate(sets, at):
+                    x, y = xs[k], ys[k]
                     if last[0] != x:
-                        last = x, shingler.many([unpack.decompress(z).decode("utf-8", "surrogatepass")])[0]
+                        last = x, shingler.many([text(b.column(2)[k].as_py())])[0]
                     s = last[1]
                     both = len(np.intersect1d(s, t, assume_unique=True))
                     if 100 * both >= percent * (len(s) + len(t) - both):
@@ -246,29 +241,33 @@ def _packed(batches):
     schema = pa.schema([("packed_id", pa.int64()), ("packed", pa.binary())])
     pack = zstandard.ZstdCompressor(level=1)
     for b in batches:
-        raw = b.column(1).to_pylist()
-        yield batch(schema, packed_id=b.column(0), packed=[pack.compress(t.encode("utf-8", "surrogatepass")) for t in raw])
+        for at in range(0, b.num_rows, 500):
+            raw = b.column(1).slice(at, 500).to_pylist()
+            packed = [pack.compress(t.encode("utf-8", "surrogatepass")) for t in raw]
+            yield batch(schema, packed_id=b.column(0).slice(at, 500), packed=packed)
 
 
 def _verified(pairs: DataFrame, classes: DataFrame, read: DataFrame, size: int, percent: int) -> DataFrame:
-    """The pairs (x, y, n common prefix columns) of classes that are similar, as links (a, b)."""
+    """The pairs (x, y) of classes that are similar, as links (a, b).
+
+    Texts are joined by sorting at every size, so that what is shuffled grows as the input does.
+    """
     one = classes.select(F.col("class").alias("x"), F.col("rep").alias("rep_x"), F.col("n_shingles").alias("n_x"))
     two = classes.select(F.col("class").alias("y"), F.col("rep").alias("rep_y"), F.col("n_shingles").alias("n_y"))
-    sizes = F.col("n_x") + F.col("n_y")
-    least = F.ceil(F.lit(percent) * sizes / F.lit(100 + percent))
     open_pairs = stage(
         pairs.join(one, "x")
         .join(two, "y")
         .where(100 * F.least("n_x", "n_y") >= percent * F.greatest("n_x", "n_y"))
-        .where(F.col("n") >= F.least(F.lit(EXTRA), least))
         .select("x", "y", "rep_x", "rep_y")
+        .distinct()
     )
-    needed = open_pairs.select(F.explode(F.array("rep_x", "rep_y")).alias("packed_id")).distinct()
+    needed = open_pairs.select(F.col("rep_x").alias("packed_id")).unionAll(open_pairs.select("rep_y")).distinct()
     packed = map_arrow(read, lambda: _packed, "packed_id long, packed binary")
-    packed = stage(packed.join(needed, "packed_id", "left_semi"))
+    packed = stage(packed.join(needed.hint("merge"), "packed_id", "left_semi"))
     right = packed.select(F.col("packed_id").alias("rep_y"), F.col("packed").alias("right"))
     left = packed.select(F.col("packed_id").alias("rep_x"), F.col("packed").alias("left"))
-    whole = open_pairs.join(right, "rep_y").join(left, "rep_x").select("x", "y", "left", "right")
+    whole = open_pairs.join(right.hint("merge"), "rep_y").join(left.hint("merge"), "rep_x")
+    whole = whole.select("x", "y", "left", "right")
     return stage(map_arrow(whole, lambda: _similar(size, percent), "a long, b long").distinct())
 
 
@@ -283,15 +282,21 @@ def jaccard_groups(
     are one class; rows that share an id must share the text; null ids keep a null component; an
     empty table gives no rows. Other columns are not read.
 
-    Shuffled: prefixes (100 - percent of each set) twice, texts of candidates packed, and small
-    tables by class. The frequent columns sent to the tasks are at most ``MOST_FREQUENT``. A column's
-    rows are multiplied in blocks of ``BLOCK`` classes, however many there are.
+    Shuffled: prefixes (100 - percent of each set) twice, the packed texts of candidates, and small
+    tables by class. The frequent columns sent to the tasks are at most ``MOST_FREQUENT``. However many
+    followers a leader has, they are multiplied in blocks of ``BLOCK``.
     """
-    spark = docs.sparkSession
-    read = texts(docs, id_col, text_col)
-    sizes = stage(map_arrow(read, lambda: _sizes(size), "doc_id long, n_shingles long, class long"))
+    with conf(docs.sparkSession, spark__sql__execution__arrow__maxBytesPerBatch="8m"):  # of the jobs run here
+        return _groups(texts(docs, id_col, text_col), size, percent)
+
+
+def _groups(read: DataFrame, size: int, percent: int) -> DataFrame:
+    spark = read.sparkSession
+    sizes = stage(map_arrow(read, lambda: _sizes(size), "doc_id long, n_shingles long, class long, map binary"))
     filled = sizes.where("n_shingles > 0 AND doc_id IS NOT NULL")
-    classes = stage(filled.groupBy("class").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n_shingles")))
+    reps = filled.groupBy("class").agg(F.min("doc_id").alias("rep"))
+    rep_rows = filled.select(F.col("doc_id").alias("rep"), "n_shingles", "map")
+    classes = stage(reps.join(rep_rows, "rep").dropDuplicates(["class"]))
 
     often = map_arrow(read, lambda: _frequent(size), "shingle long, n long").groupBy("shingle").agg(F.sum("n").alias("n"))
     often = often.where(F.col("n") >= FREQUENT).orderBy(F.desc("n"), "shingle").limit(MOST_FREQUENT)
@@ -299,30 +304,40 @@ def jaccard_groups(
     shared = spark.sparkContext.broadcast(often)
     prefixes = map_arrow(read, lambda: _prefixes(size, percent, shared.value), "shingle long, class long")
 
-    leaders = prefixes.groupBy("shingle").agg(F.min("class").alias("leader"), F.max("class").alias("other"))
-    leaders = leaders.where("leader <> other").select("shingle", "leader")
-    common = stage(prefixes.join(leaders, "shingle").dropDuplicates(["shingle", "class"]))
-    stars = common.where("class <> leader").groupBy(F.col("leader").alias("x"), F.col("class").alias("y"))
-    first = _verified(stars.agg(F.count("*").alias("n")), classes, read, size, percent)
+    several = prefixes.groupBy("shingle").agg(F.min("class").alias("least"), F.max("class").alias("most"))
+    common = stage(prefixes.join(several.where("least <> most").select("shingle"), "shingle").dropDuplicates(["shingle", "class"]))
+    # A class with fewer common columns than a similar pair must share is similar to none.
+    needs = F.least(F.lit(EXTRA), F.ceil(F.lit(percent) * F.col("n_shingles") / 100))
+    shares = common.groupBy("class").agg(F.count("*").alias("shares")).join(classes.select("class", "n_shingles"), "class")
+    shares = stage(shares.where(F.col("shares") >= needs).select("class", "shares"))
+    common = common.join(shares, "class")
+    # The class that shares most columns; a hash of its name breaks ties the same way everywhere.
+    place = F.col("shares") * F.lit(1 << 32) + F.pmod(F.xxhash64("class"), F.lit(1 << 32))
+    leaders = common.groupBy("shingle").agg(F.max_by("class", place).alias("leader"))
+    follows = common.join(leaders, "shingle").groupBy("leader", "class").agg(F.count("*").alias("n"))
+    follows = stage(follows)
+
+    sized = classes.select(F.col("class").alias("leader"), F.col("n_shingles").alias("n_leader"))
+    stars = follows.where("class <> leader").join(sized, "leader")
+    # Similar rows share about half of their prefixes; a wrong guess only leaves more for the second step.
+    stars = stars.where(F.col("n") * 200 >= F.col("n_leader") * (100 - percent))
+    first = _verified(stars.select(F.col("leader").alias("x"), F.col("class").alias("y")), classes, read, size, percent)
     groups = components(first).select(F.col("node").alias("class"), F.col("component"))
 
-    named = common.join(groups, "class", "left").select("shingle", "class", F.coalesce("component", "class").alias("component"))
-    mixed = named.groupBy("shingle").agg(
+    named = follows.join(groups, "class", "left").select("leader", "class", F.coalesce("component", "class").alias("component"))
+    mixed = named.groupBy("leader").agg(
         F.min("component").alias("least"), F.max("component").alias("most"), F.count("*").alias("rows")
     )
-    blocks = F.ceil(F.col("rows") / BLOCK).cast("long")
-    mixed = mixed.where("least <> most").select("shingle", blocks.alias("blocks"))
-    named = named.join(mixed, "shingle").join(classes.select("class", "n_shingles"), "class")
+    mixed = mixed.where("least <> most").select("leader", F.ceil(F.col("rows") / BLOCK).cast("long").alias("blocks"))
+    named = named.join(mixed, "leader")
     side = F.pmod(F.xxhash64("class"), F.col("blocks"))
     dealt = named.select("*", side.alias("side"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("other"))
-    dealt = dealt.select(
-        "shingle", F.least("side", "other").alias("low"), F.greatest("side", "other").alias("high"), "side", "class",
-        "n_shingles", "component",
+    dealt = dealt.join(classes.select("class", "n_shingles", "map"), "class").select(
+        "leader", F.least("side", "other").alias("low"), F.greatest("side", "other").alias("high"), "side", "class",
+        "n_shingles", "component", "map",
     )
-    dealt = dealt.repartition("shingle", "low", "high").sortWithinPartitions("shingle", "low", "high")
-    open_pairs = map_arrow(dealt, lambda: _cross_pairs(percent), "x long, y long, n long")
-    open_pairs = open_pairs.groupBy("x", "y").agg(F.sum("n").alias("n"))
-    second = _verified(open_pairs, classes, read, size, percent)
+    dealt = dealt.repartition("leader", "low", "high").sortWithinPartitions("leader", "low", "high")
+    second = _verified(map_arrow(dealt, lambda: _cross_pairs(percent), "x long, y long"), classes, read, size, percent)
 
     every = components(first.unionAll(second))
     named = classes.join(every.withColumnRenamed("node", "class"), "class", "left").select(
