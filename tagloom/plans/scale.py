@@ -1,19 +1,25 @@
-"""Queries that force the paths large tables take, and hard inputs: ties, text and decimal ids, outliers.
+"""Queries that force the paths large tables take, hard inputs (ties, text and decimal ids, outliers), guards and sinks.
 
 A path that only runs above a row count would otherwise never be compared with SQL.
 """
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
-from tagloom.operators import impute, order, scans, series
+from tagloom.operators import columns, impute, order, scans, series
+from tagloom.operators.clean import require_min_rows
 from tagloom.operators.metrics import test_series as indexed_series
 from tagloom.plans import inputs as src
 from tagloom.plans.evaluation import IDS, MEDIANS_SQL, NUMBERS
 from tagloom.plans.inputs import EVENT_ORDER, table
 from tagloom.plans.registry import ORACLES, query, r6, rounded
 from tagloom.plans.windows import _features_sql
+from tagloom.sources import sinks
+from tagloom.sources.staging import shared_folder
+from tagloom.sources.tables import ordered_distinct
 
 SMALL = {"max_group_rows": 50, "block_rows": 400}
 
@@ -140,3 +146,49 @@ def tied_folds(spark, d):
     """Time keys with a few values only; the ids break the ties."""
     rows = table(spark, d, "orders").select(F.year("o_orderdate").alias("y"), "o_orderkey")
     return order.expanding_folds(rows, 4, "y", ["o_orderkey"]).select("o_orderkey", "fold", "role")
+
+
+def _folder(spark) -> str:
+    return f"{shared_folder(spark).rstrip('/')}/tagloom-{uuid.uuid4().hex}"
+
+
+@query("guarded_rows", "SELECT event_id, value FROM events")
+def guarded_rows(spark, d):
+    """Rows that pass the guards on columns, types, row count and a strict feature list."""
+    events = table(spark, d, "events")
+    rows = require_min_rows(columns.require_columns(events, ["event_id", "value"]), 10)
+    columns.validate_numeric(rows, ["value"])
+    listed = events.select(F.lit("value").alias("feature"), F.col("event_id").alias("pos"))
+    names = columns.require_features(ordered_distinct(listed, "feature", "pos"), rows)
+    return rows.select("event_id", *names)
+
+
+@query("metrics_read_back", f"WITH {src.PREDICTIONS_SQL} SELECT * FROM {src.metrics_sql('target, model')}")
+def metrics_read_back(spark, d):
+    path = _folder(spark)
+    sinks.write_metrics(src.metrics(spark, d, "target", "model"), path)
+    return spark.read.parquet(path)
+
+
+@query(
+    "run_log_read_back",
+    f"""WITH {src.PREDICTIONS_SQL}, rows AS (SELECT * FROM {src.metrics_sql('target, model')})
+        SELECT *, true AS dated FROM rows UNION ALL SELECT *, true FROM rows""",
+)
+def run_log_read_back(spark, d):
+    """Two runs appended to one log."""
+    path, metrics = _folder(spark), src.metrics(spark, d, "target", "model")
+    for _ in range(2):
+        sinks.write_run_log(metrics, path)
+    log = spark.read.parquet(path)
+    return log.withColumn("dated", F.col("run_date").rlike(r"^\d{4}-\d\d-\d\dT\d\d:\d\d:\d\d$")).drop("run_date")
+
+
+@query(
+    "predictions_read_back",
+    f"WITH {src.PREDICTIONS_SQL} SELECT {IDS}, model, y_true, round(y_pred + 1e-9, 6) AS y_pred FROM predictions",
+)
+def predictions_read_back(spark, d):
+    path = _folder(spark)
+    sinks.write_predictions(src.predictions(spark, d).select(*src.LINE_IDS, "model", "y_true", "y_pred"), path)
+    return rounded(spark.read.parquet(path), "y_pred")
