@@ -66,3 +66,44 @@ def test_edges(spark):
     assert all(got[k] == (0, k, True) for k in (4, 5, 6, 7, 8, 9, 10)) and got[None] == (0, None, True)
     assert got[11] == (1, 11, True) and got[12] == (1, 11, False)
     assert link_embeddings(df.limit(0)).collect() == []
+
+
+def beside_a_hot_group(bands, dim=64, pairs=150, hot=1500, others=2700):
+    """Vectors of which a third are one group at cosine 0.99, and pairs (a, b) of each band of cosines."""
+    rng = np.random.default_rng(17)
+    unit = lambda v: v / np.linalg.norm(v, axis=-1, keepdims=True)
+
+    def at(base, cosine):
+        off = rng.normal(size=base.shape)
+        off = unit(off - (off * base).sum(1)[:, None] * base)
+        return cosine[:, None] * base + np.sqrt(1 - cosine**2)[:, None] * off
+
+    centre = unit(rng.normal(size=(1, dim)))
+    parts, found = [at(np.repeat(centre, hot, 0), np.full(hot, 0.995)), unit(rng.normal(size=(others, dim)))], {}
+    for low, high in bands:
+        base, first = unit(rng.normal(size=(pairs, dim))), sum(map(len, parts))
+        parts += [base, at(base, rng.uniform(low + 1e-6, high, pairs))]
+        found[low] = [(first + k, first + pairs + k) for k in range(pairs)]
+    return np.concatenate(parts), found
+
+
+@pytest.mark.parametrize("threshold,bands", [(0.9, [(0.9, 0.91), (0.91, 0.95), (0.95, 1)]), (0.98, [(0.98, 0.982), (0.982, 0.99), (0.99, 1)])])
+def test_recall_of_bands_beside_a_hot_group(spark, monkeypatch, threshold, bands):
+    monkeypatch.setattr(embedding_links, "CROWD", 200)  # at 0.98 the windows are narrow enough to be searched
+    x, found = beside_a_hot_group(bands)
+    assert (embedding_links.calibrate(len(x), 64, threshold).searched > 0) == (threshold > 0.9)
+    df = spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(x)], "vec_id long, embedding array<double>")
+    got = columns(link_embeddings(df, threshold))
+    for low, links in found.items():
+        assert np.mean([got[b][1] == got[a][1] and got[a][0] > 0 for a, b in links]) >= 0.99, low
+
+
+def test_calibration_passes_links_at_the_threshold():
+    rng = np.random.default_rng(1)
+    for dim in (2, 3, 8, 64, 768):
+        plan = embedding_links.calibrate(15_000_000, dim, 0.9)
+        off = rng.normal(size=(20_000, dim))
+        off *= np.sqrt(0.2) / np.linalg.norm(off, axis=1)[:, None]
+        at = np.abs(off @ plan.directions.T)
+        assert ((at[:, :24] <= plan.window).sum(1) >= plan.least).mean() >= 0.9995
+        assert (at[:, 24:] <= plan.reach).all(1).mean() >= 0.9995
