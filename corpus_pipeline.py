@@ -27,8 +27,8 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops repeated lines; a document that had words and keeps none goes too."""
-    kept = line_templates.drop_lines(docs, line_templates.repeated_lines(docs), drop_emptied=True)
+    """Drops repeated lines; a document that had words and keeps none goes too, if it is a copy by literal tokens."""
+    kept = line_templates.drop_lines(docs, line_templates.repeated_lines(docs, careful=True), drop_emptied=True)
     return kept.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
 
 

@@ -6,6 +6,10 @@ a fifth of the tokens agree (so at least 0.8 of them): each line gives one templ
 that field. A template is known by a hash, and its first document by a minimum, so neither lines nor
 pairs of lines are gathered. A line is dropped when one of its templates occurs in an earlier
 document; the first document keeps it.
+
+``careful`` (the pipeline) wants constant tokens in a template: at least half of the line's tokens and three
+stand outside its fields. Other lines, as the rows of a numeric table, are compared token by token. The SQL twin
+of ``op1`` has no such rule and masks them, so that query does too.
 """
 
 from __future__ import annotations
@@ -21,6 +25,8 @@ from tagloom.llm.hashing import WordHasher, joined, mix, parts
 
 DEPTH = 3
 MIN_TOKENS = 4
+#: Tokens that a careful template must have outside its fields, besides half of all.
+LEAST_CONSTANT = 3
 #: The hash of a variable field.
 FIELD = np.uint64(0x27D4EB2F165667C5)
 _M1, _M2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
@@ -28,22 +34,23 @@ _DIGIT = np.isin(np.arange(256), list(b"0123456789"))
 
 
 def line_tokens(hasher: WordHasher, texts: list[str], min_tokens: int):
-    """(hashes, sizes, texts, numbers) of the lines with at least ``min_tokens`` tokens."""
+    """(hashes, has a digit, sizes, texts, numbers) of the lines with at least ``min_tokens`` tokens."""
     raw, ends = joined(texts)
     hashes, start, end = hasher(raw)
     digits = np.concatenate([np.zeros(1, np.int32), np.cumsum(_DIGIT[raw], dtype=np.int32)])
-    hashes[digits[end] > digits[start]] = FIELD
+    variable = digits[end] > digits[start]
     feeds = np.flatnonzero(raw == 10)
     line = np.searchsorted(feeds, start)
     sizes = np.bincount(line, minlength=len(feeds))
     text = np.searchsorted(ends, feeds, side="right")
     number = np.arange(len(feeds)) - np.searchsorted(feeds, ends - np.diff(ends, prepend=0))[text]
     keep = sizes >= min_tokens
-    return hashes[keep[line]], sizes[keep], text[keep], number[keep]
+    kept = keep[line]
+    return hashes[kept], variable[kept], sizes[keep], text[keep], number[keep]
 
 
-def template_keys(hashes: np.ndarray, sizes: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
-    """(line, key) of every template of lines given as joined token hashes and their sizes."""
+def _templates(hashes: np.ndarray, sizes: np.ndarray, depth: int) -> tuple[np.ndarray, ...]:
+    """(line, key, first and last token of the hidden run) of every template of lines given as joined token hashes."""
     first = np.cumsum(sizes) - sizes
     place = np.arange(len(hashes)) - np.repeat(first, sizes)
     placed = mix(hashes + (place.astype(np.uint64) + np.uint64(1)) * _M2)
@@ -57,10 +64,33 @@ def template_keys(hashes: np.ndarray, sizes: np.ndarray, depth: int) -> tuple[np
     end = np.minimum(start + width[line], sizes[line])
     hidden = sums[first[line] + end] - sums[first[line] + start]
     with_field = mix(whole[line] - hidden + (number.astype(np.uint64) + np.uint64(1)) * _M1)
-    return np.concatenate([np.arange(len(sizes)), line]), np.concatenate([mix(whole), with_field]).view(np.int64)
+    lines, keys = np.concatenate([np.arange(len(sizes)), line]), np.concatenate([mix(whole), with_field])
+    return lines, keys, np.concatenate([first, first[line] + start]), np.concatenate([first, first[line] + end])
+
+
+def template_keys(hashes: np.ndarray, variable: np.ndarray, sizes: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
+    """(line, key) of every template, with every token that has a digit as a field."""
+    line, key, _, _ = _templates(np.where(variable, FIELD, hashes), sizes, depth)
+    return line, key.view(np.int64)
+
 
+def careful_keys(hashes: np.ndarray, variable: np.ndarray, sizes: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
+    """(line, key) of the templates with enough constant tokens, of the same by literal tokens, and of other lines literally.
 
-def _keys(depth: int, min_tokens: int):
+    A key is odd if it says that all tokens outside the hidden run are equal.
+    """
+    line, key, low, high = _templates(np.where(variable, FIELD, hashes), sizes, depth)
+    _, literal, _, _ = _templates(hashes, sizes, depth)
+    seen, first = np.concatenate([np.zeros(1, np.int64), np.cumsum(variable)]), np.cumsum(sizes) - sizes
+    fields = (seen[first + sizes] - seen[first])[line] - (seen[high] - seen[low])
+    constant, size = sizes[line] - (high - low) - fields, sizes[line]
+    enough = (constant >= LEAST_CONSTANT) & (2 * constant >= size)
+    masked, equal = enough & (fields > 0), np.where(enough, True, low == high)
+    keys = np.concatenate([key[masked] & ~np.uint64(1), literal[equal] | np.uint64(1)])
+    return np.concatenate([line[masked], line[equal]]), keys.view(np.int64)
+
+
+def _keys(depth: int, min_tokens: int, careful: bool):
     schema = pa.schema([("key", pa.int64()), ("doc_id", pa.int64()), ("pos", pa.int32())])
 
     def run(batches):
@@ -68,9 +98,9 @@ def _keys(depth: int, min_tokens: int):
         for b in batches:
             ids, raw = b.column(0), b.column(1).to_pylist()
             for part in parts(raw):
-                hashes, sizes, text, number = line_tokens(hasher, raw[part], min_tokens)
+                hashes, variable, sizes, text, number = line_tokens(hasher, raw[part], min_tokens)
                 if len(sizes):
-                    line, key = template_keys(hashes, sizes, depth)
+                    line, key = (careful_keys if careful else template_keys)(hashes, variable, sizes, depth)
                     owner = ids.take(pa.array(part.start + text[line]))
                     yield batch(schema, key=key, doc_id=owner, pos=number[line].astype(np.int32))
 
@@ -78,21 +108,27 @@ def _keys(depth: int, min_tokens: int):
 
 
 def repeated_lines(
-    docs: DataFrame, depth: int = DEPTH, min_tokens: int = MIN_TOKENS, id_col: str = "doc_id", text_col: str = "text"
-) -> DataFrame:
+    docs: DataFrame, depth: int = DEPTH, min_tokens: int = MIN_TOKENS, id_col: str = "doc_id", text_col: str = "text",
+    careful: bool = False,
+) -> DataFrame:
     """doc_id and ``dropped``, the numbers (from 0) of its lines whose template an earlier document has.
 
+    With ``careful`` also ``copied``, those of them that equal an earlier line by literal tokens outside one run.
+
     Earlier is by the id; rows that share an id are one document; a null id comes after all others.
     Lines of fewer than ``min_tokens`` tokens have no template. Only hashes and ids are shuffled. The first
     documents are a minimum, combined before the shuffle; the join splits hot templates
     through the adaptive planner, as either side may be read in parts.
     """
-    keys = map_arrow(texts(docs, id_col, text_col), lambda: _keys(depth, min_tokens), "key long, doc_id long, pos int")
+    keys = map_arrow(texts(docs, id_col, text_col), lambda: _keys(depth, min_tokens, careful), "key long, doc_id long, pos int")
     last = F.lit((1 << 63) - 1)
     keys = keys.withColumn("order", F.coalesce("doc_id", last))
     first = keys.groupBy("key").agg(F.min("order").alias("first"), F.max("order").alias("latest")).where("first < latest")
     repeats = keys.join(first.select("key", "first"), "key").where("order > first")
-    return repeats.groupBy("doc_id").agg(F.collect_set("pos").alias("dropped"))
+    found = [F.collect_set("pos").alias("dropped")]
+    if careful:
+        found.append(F.collect_set(F.when(F.col("key").bitwiseAND(F.lit(1).cast("long")) == 1, F.col("pos"))).alias("copied"))
+    return repeats.groupBy("doc_id").agg(*found)
 
 
 def drop_lines(
@@ -100,19 +136,24 @@ def drop_lines(
 ) -> DataFrame:
     """``docs`` with the same columns, its texts without the dropped lines. A null text stays null.
 
-    ``drop_emptied`` leaves out the documents that lose lines and keep no word: all they hold stands
-    in earlier documents.
+    ``drop_emptied`` leaves out the documents that lose lines and keep no word. If ``repeats`` has ``copied``, such
+    a document loses only the copied lines, and goes if it keeps no word then: all it held stands, but for
+    a fifth of a line, in earlier documents.
     """
     fields = docs.schema
-    drops = repeats.select(F.col("doc_id").alias("__id"), F.col("dropped").alias("__dropped"))
+    copied = F.col("copied" if "copied" in repeats.columns else "dropped").alias("__copied")
+    drops = repeats.select(F.col("doc_id").alias("__id"), F.col("dropped").alias("__dropped"), copied)
     joined = docs.join(drops, F.col(f"`{id_col}`").eqNullSafe(F.col("__id")), "left").drop("__id")
     names = [f.name for f in fields]
     at = names.index(text_col)
 
     def run(batches):
         for b in batches:
-            drop = b.column(len(names)).to_pylist()
-            kept = [t if t is None or not d else _kept(t, d)[0] for t, d in zip(b.column(at).to_pylist(), drop)]
+            drop, raw = b.column(len(names)).to_pylist(), b.column(at).to_pylist()
+            kept = [t if t is None or not d else _kept(t, d)[0] for t, d in zip(raw, drop)]
+            if drop_emptied:
+                copies = b.column(len(names) + 1).to_pylist()
+                kept = [_kept(t, c)[0] if t and d and not k.split() else k for k, t, d, c in zip(kept, raw, drop, copies)]
             columns = [pa.array(kept, b.column(k).type) if k == at else b.column(k) for k in range(len(names))]
             out = pa.RecordBatch.from_arrays(columns, names=names)
             if drop_emptied:

@@ -54,3 +54,47 @@ def test_edges(spark):
     assert out == sorted(want, key=str)
     assert repeated_lines(df.limit(0)).collect() == [] and drop_lines(df.limit(0), repeats).collect() == []
     assert line_report(df, repeats).count() == 10
+
+
+def test_numeric_tables_are_no_templates(spark):
+    row = lambda k, n: " ".join(str(k * 31 + i * 7) for i in range(n))
+    table = lambda k: "\n".join(row(k * 10 + i, n) for i, n in enumerate((4, 5, 6, 12)))
+    log = "the door of room {} was opened by guest {} at night"
+    rows = [
+        (1, table(1)), (2, table(2)), (3, f"own words\n{table(3)}\n{table(1)}"), (4, table(1)),
+        (5, f"Paris {row(5, 4)}"), (6, f"Paris {row(6, 4)}"),  # one constant token of five
+        (7, log.format(1, 2) + "\nmore here"), (8, log.format(3, 4) + "\nother things"),  # a log line with other numbers goes
+        (9, log.format(5, 6)), (10, f"{log.format(7, 8)}\n{log.format(1, 2)}"), (11, log.format(1, 2)),  # but not as all of a document
+    ]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    out = drop_lines(df, repeated_lines(df, careful=True), drop_emptied=True)
+    want = dict(rows) | {3: f"own words\n{table(3)}", 8: "other things", 10: log.format(7, 8)}
+    assert {r.doc_id: r.text for r in out.collect()} == {k: v for k, v in want.items() if k not in (4, 11)}
+
+
+def test_careful_lines_equal_brute_force(spark):
+    rng, rows = np.random.default_rng(3), []
+    for k in range(120):
+        lines = [" ".join(rng.choice(["a", "b", "7", "8"], rng.integers(4, 12), p=[0.5, 0.1, 0.3, 0.1])) for _ in range(4)]
+        rows.append((k, "\n".join(lines)))
+    lines = [(d, n, x.split()) for d, text in rows for n, x in enumerate(text.split("\n"))]
+
+    def match(a, b, masked):
+        if len(a) != len(b):
+            return False
+        x, y = ([["<*>" if masked and t in "78" else t for t in z] for z in (a, b)])
+        n, w = len(a), len(a) // 5
+        runs = [(0, 0)] + [(3 + k * w, min(n, 3 + k * w + w)) for k in range(-(-(n - 3) // w) if w else 0)]
+        for low, high in runs:
+            if x[:low] == y[:low] and x[high:] == y[high:]:
+                constant = sum(t not in "78" for t in a[:low] + a[high:])
+                if (constant >= 3 and 2 * constant >= n) or (not masked and low == high):
+                    return True
+        return False
+
+    def by(masked):
+        return {(d, n) for d, n, x in lines if any(e < d and match(x, y, masked) for e, _, y in lines)}
+
+    found = repeated_lines(spark.createDataFrame(rows, "doc_id long, text string"), careful=True).collect()
+    copied = {(r.doc_id, k) for r in found for k in r.copied}
+    assert copied == by(False) and {(r.doc_id, k) for r in found for k in r.dropped} == by(False) | by(True) != copied
