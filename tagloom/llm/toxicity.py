@@ -185,11 +185,14 @@ class ToxicityModel:
         return 1.0 / (1.0 + math.exp(-max(-30.0, min(30.0, z))))
 
 
-def learn_lexicon(toxic: list[str], clean: list[str], least_docs: int = 6, log_odds: float = 3.0, most: int = 300) -> list[str]:
+def learn_lexicon(
+    toxic: list[str], clean: list[str], least_docs: int = 6, log_odds: float = 3.0, most: int = 300, inflected: bool = False
+) -> list[str]:
     """Words and stems (4 to 8 letters, marked ``*``) far more frequent in toxic texts.
 
     Of a stem and its extensions that stand for nearly the same texts, the longest is taken, a
-    whole word before a stem.
+    whole word before a stem. A stem covers its other extensions; with ``inflected`` not the whole words that allow
+    more edits than it, whose misspelled forms only they accept.
     """
 
     def seen(sample):
@@ -209,7 +212,8 @@ def learn_lexicon(toxic: list[str], clean: list[str], least_docs: int = 6, log_o
     for e, n in sorted(good.items(), key=lambda x: (-x[1], -len(x[0]), x[0].endswith("*"), x[0])):
         word = e.removesuffix("*")
         longer = e.endswith("*") and any(m >= 0.9 * n and x != e and x.startswith(word) for x, m in good.items())
-        covered = any(x.endswith("*") and word.startswith(x[:-1]) for x in taken)
+        edits = allowed_edits(e) if inflected and not e.endswith("*") else 0
+        covered = any(x.endswith("*") and word.startswith(x[:-1]) and (not edits or edits <= allowed_edits(x)) for x in taken)
         if not longer and not covered and len(taken) < most:
             taken.append(e)
     return taken
@@ -232,7 +236,7 @@ def fit(
     if len(part[0]) < 2 or len(part[1]) < 2:
         share = min(max(counts.get(1, 0) / known, 1e-3), 1 - 1e-3) if known else 0.5
         return ToxicityModel((), (math.log(share / (1 - share)), 0.0, 0.0, 0.0, 0.0, 0.0))
-    entries = learn_lexicon(part[1][::2], part[0][::2], least_docs=max(2, min(6, len(part[1]) // 40)))
+    entries = learn_lexicon(part[1][::2], part[0][::2], least_docs=max(2, min(6, len(part[1]) // 40)), inflected=True)
     features = ToxicityFeatures(entries)
     x = np.array([features.vector(f) for y in (0, 1) for f in features.many(part[y][1::2])])
     y = np.repeat([0.0, 1.0], [len(part[k][1::2]) for k in (0, 1)])

@@ -75,3 +75,14 @@ def test_edges(spark):
     assert len(out) == 9 and all(0 <= r.score <= 1 and r.predicted == int(r.score >= 0.5) for r in out)
     assert {r.score for r in score(df, fit(df, labels.limit(0), F.lit(True)), F.lit(False)).collect()} == {0.5}
     assert score(df.limit(0), fit(df.limit(0), labels, F.lit(True)), F.lit(False)).collect() == []
+
+
+def test_misspelled_inflections(spark):
+    toxic = [f"ab cd {w}" for w in ["idiot", "idiots", "gruma", "grumbe"] * 10]
+    entries = learn_lexicon(toxic, ["ab cd ef"] * 50, inflected=True)
+    assert set(entries) == {"idiot*", "idiot", "idiots", "grum*", "gruma", "grumbe"}
+    docs = spark.createDataFrame([(k, t) for k, t in enumerate([*sorted(toxic * 2), *["ab cd ef"] * 80])], "doc_id long, text string")
+    labels = docs.selectExpr("doc_id", "int(doc_id < 80) AS toxic")
+    f = ToxicityFeatures(list(fit(docs, labels, F.lit(True)).entries))
+    found = f.many(["idi0t", "idot", "idi0ts", "iidiots", "gr0ma", "idiotic", "grumce", "ab cd ef", "radiator"])
+    assert [x[:2] for x in found] == [(0, 1)] * 5 + [(1, 0)] * 2 + [(0, 0)] * 2
