@@ -192,7 +192,7 @@ def learn_lexicon(
 
     Of a stem and its extensions that stand for nearly the same texts, the longest is taken, a
     whole word before a stem. A stem covers its other extensions; with ``inflected`` not the whole words that allow
-    more edits than it, whose misspelled forms only they accept.
+    more edits than it, whose misspelled forms only they accept. Of more than ``most`` those of the greatest log odds stay.
     """
 
     def seen(sample):
@@ -204,25 +204,27 @@ def learn_lexicon(
 
     t, c = seen(toxic), seen(clean)
     nt, nc = len(toxic) + 1, len(clean) + 1
-    good = {
-        e: n for e, n in t.items()
-        if n >= least_docs and len(e) >= 3 and math.log((n + 0.5) / nt) - math.log((c[e] + 0.5) / nc) >= log_odds
-    }
+
+    def odds(e):
+        return math.log((t[e] + 0.5) / nt) - math.log((c[e] + 0.5) / nc)
+
+    good = {e: n for e, n in t.items() if n >= least_docs and len(e) >= 3 and odds(e) >= log_odds}
     taken: list[str] = []
     for e, n in sorted(good.items(), key=lambda x: (-x[1], -len(x[0]), x[0].endswith("*"), x[0])):
         word = e.removesuffix("*")
         longer = e.endswith("*") and any(m >= 0.9 * n and x != e and x.startswith(word) for x, m in good.items())
         edits = allowed_edits(e) if inflected and not e.endswith("*") else 0
         covered = any(x.endswith("*") and word.startswith(x[:-1]) and (not edits or edits <= allowed_edits(x)) for x in taken)
-        if not longer and not covered and len(taken) < most:
+        if not longer and not covered:
             taken.append(e)
-    return taken
+    return sorted(taken, key=lambda e: -odds(e))[:most] if len(taken) > most else taken
 
 
 def fit(
-    docs: DataFrame, labels: DataFrame, training: Column, per_class: tuple[int, int] = (4000, 2000), max_chars: int = 50_000
-) -> ToxicityModel:
-    """Fits on a bounded sample: at most ``per_class`` whole texts of label 0 and 1.
+    docs: DataFrame, labels: DataFrame, training: Column, per_class: tuple[int, int] = (4000, 2000), max_chars: int = 50_000,
+    most: int = 300,
+) -> ToxicityModel:
+    """Fits on a bounded sample: at most ``per_class`` whole texts of label 0 and 1, and ``most`` entries of the lexicon.
 
     Half of each class gives the lexicon, the other half the weights. The weights are set back to the
     shares of the classes among all training labels. Without texts of both classes
@@ -236,7 +238,7 @@ def fit(
     if len(part[0]) < 2 or len(part[1]) < 2:
         share = min(max(counts.get(1, 0) / known, 1e-3), 1 - 1e-3) if known else 0.5
         return ToxicityModel((), (math.log(share / (1 - share)), 0.0, 0.0, 0.0, 0.0, 0.0))
-    entries = learn_lexicon(part[1][::2], part[0][::2], least_docs=max(2, min(6, len(part[1]) // 40)), inflected=True)
+    entries = learn_lexicon(part[1][::2], part[0][::2], least_docs=max(2, min(6, len(part[1]) // 40)), most=most, inflected=True)
     features = ToxicityFeatures(entries)
     x = np.array([features.vector(f) for y in (0, 1) for f in features.many(part[y][1::2])])
     y = np.repeat([0.0, 1.0], [len(part[k][1::2]) for k in (0, 1)])
@@ -250,7 +252,7 @@ def score(docs: DataFrame, model: ToxicityModel, held_out: Column, id_col: str =
     """One row per document row: doc_id, held_out, score, predicted, and the counts of hits.
 
     Empty and null texts have no hits; a repeated row gives a row each; an empty table none; other
-    columns are not read. The model holds at most 300 entries. Nothing is shuffled.
+    columns are not read. Nothing is shuffled.
     """
 
     def make():

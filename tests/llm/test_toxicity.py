@@ -86,3 +86,12 @@ def test_misspelled_inflections(spark):
     f = ToxicityFeatures(list(fit(docs, labels, F.lit(True)).entries))
     found = f.many(["idi0t", "idot", "idi0ts", "iidiots", "gr0ma", "idiotic", "grumce", "ab cd ef", "radiator"])
     assert [x[:2] for x in found] == [(0, 1)] * 5 + [(1, 0)] * 2 + [(0, 0)] * 2
+
+
+def test_a_full_lexicon_keeps_the_greatest_odds(spark):
+    toxic, clean = ["ab cd noise"] * 40 + ["ab cd moron"] * 20, ["ab cd ef"] * 49 + ["ab cd noise"]
+    assert learn_lexicon(toxic, clean) == ["noise", "moron"]
+    assert learn_lexicon(toxic, clean, most=1) == ["moron"]
+    docs = spark.createDataFrame([(k, t) for k, t in enumerate([*toxic, *clean])], "doc_id long, text string")
+    labels = docs.selectExpr("doc_id", "int(doc_id < 60) AS toxic")
+    assert len(fit(docs, labels, F.lit(True), most=1).entries) == 1
