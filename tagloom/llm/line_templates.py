@@ -3,7 +3,8 @@
 A line of n tokens stands below the node of its token count and its leading tokens. Tokens with a
 digit are variable fields. Below that, a line matches a template if all its tokens outside one run of
 a fifth of the tokens agree (so at least 0.8 of them): each line gives one template for itself and one for each place of
-that field. A template is known by a hash, and its first document by a minimum, so neither lines nor
+that field. The places start at the fourth token and do not overlap: lines that differ in a run across the border of two
+places, or in scattered tokens, are not matched. A template is known by a hash, and its first document by a minimum, so neither lines nor
 pairs of lines are gathered. A line is dropped when one of its templates occurs in an earlier
 document; the first document keeps it.
 
