@@ -25,6 +25,7 @@ from tagloom.llm.common import batch, map_arrow, texts
 from tagloom.llm.hashing import WordHasher, joined, mix, parts
 
 DEPTH = 3
+#: Shorter lines have no template and stay.
 MIN_TOKENS = 4
 #: Tokens that a careful template must have outside its fields, besides half of all.
 LEAST_CONSTANT = 3
