@@ -18,6 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from tagloom.llm.common import batch, map_arrow, texts, where_text
+from tagloom.sources.staging import stage
 
 #: Words are runs of digits, ASCII letters and everything beyond ASCII.
 _WORD = re.compile(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")
@@ -257,31 +258,32 @@ def find_passages(
     are the merged stretches of characters to remove. Only the benchmark is broadcast: its
     size is counted first and it is taken in blocks of ``block_chars`` characters, each against all
     documents; a document's shard stays in the task that read it, so nothing is shuffled unless
-    the benchmark needs several blocks. A benchmark item is never cut between blocks.
+    the benchmark needs several blocks. Then the hits of a block are staged and the block is released
+    before the next is read, so the driver and the tasks hold one. A benchmark item is never cut between blocks.
 
     Null or wordless texts: no words, no hits, not contaminated. Null item ids or texts take
     no part. Repeated document rows each give a row; repeated items count once by id. An empty
     benchmark hits nothing. Other columns are not read.
     """
     read = texts(docs, id_col, text_col)
-    blocks = _phrase_blocks(benchmark, window, block_chars)
-    if len(blocks) == 1:
-        return map_arrow(read, lambda p=blocks[0]: _finder(p.value, shard_words), SCHEMA)
-    found = None
-    for phrases in blocks:
-        one = map_arrow(read, lambda p=phrases: _word_hits(p.value, shard_words), _HITS)
-        found = one if found is None else found.unionAll(one)
-    return _merge_blocks(read, found)
+    n, block = _phrase_blocks(benchmark, window, block_chars)
+    if n == 1:
+        return map_arrow(read, lambda p=block(0): _finder(p.value, shard_words), SCHEMA)
+    return _merge_blocks(read, _block_hits(read, n, block, shard_words))
 
 
-def _phrase_blocks(benchmark: DataFrame, window: int, block_chars: int) -> list:
-    """Broadcast windows of the benchmark, in as many blocks as its measured size asks for."""
+def _phrase_blocks(benchmark: DataFrame, window: int, block_chars: int):
+    """How many blocks the benchmark's measured size asks for, and a function that broadcasts the windows of one."""
     bench = benchmark.select(F.col("item_id").cast("string").alias("item"), "text").dropna()
     size = bench.agg(F.sum(F.length("text"))).first()[0] or 0
     n = max(1, -(-size // block_chars))
     context = benchmark.sparkSession.sparkContext
-    parts = [bench.where(F.pmod(F.xxhash64("item"), F.lit(n)) == k) for k in range(n)]
-    return [context.broadcast(Phrases([tuple(r) for r in part.collect()], window)) for part in parts]
+
+    def block(k: int):
+        part = bench.where(F.pmod(F.xxhash64("item"), F.lit(n)) == k)
+        return context.broadcast(Phrases([tuple(r) for r in part.toLocalIterator()], window))
+
+    return n, block
 
 
 def keep_uncontaminated(
@@ -290,9 +292,16 @@ def keep_uncontaminated(
 ) -> DataFrame:
     """The rows of ``docs``, with all their columns, that are not contaminated; nothing is shuffled.
 
-    The blocks of a large benchmark are searched one after the other in the task.
+    The blocks of a large benchmark are searched one after the other, and only one is held; then the hits
+    are shuffled by a hash of the text.
     """
-    blocks = _phrase_blocks(benchmark, window, block_chars)
+    n, block = _phrase_blocks(benchmark, window, block_chars)
+    if n > 1:
+        text = F.coalesce(F.col(f"`{text_col}`"), F.lit(""))
+        hits = _all_hits(_block_hits(docs.select(text.alias("text")), n, block, shard_words))
+        bad = hits.where(20 * F.size("hit") >= F.col("n_words")).select(F.col("key").alias("__key"))
+        return docs.join(bad, F.sha2(text, 256) == F.col("__key"), "left_anti")
+    phrases = block(0)
 
     def make():
         def passes(raw):
@@ -302,10 +311,8 @@ def keep_uncontaminated(
                 end, held = at, 0
                 while end < len(split) and held < shard_words:
                     held, end = held + len(split[end]) + 1, end + 1
-                found = [_shard(p.value, split[at:end])[0] for p in blocks]
-                for k, w in enumerate(split[at:end]):
-                    n = len(np.unique(np.concatenate([np.asarray(f[k], np.int64) for f in found])))
-                    out.append(n == 0 or 20 * n < len(w))
+                found = _shard(phrases.value, split[at:end])[0]
+                out += [len(f) == 0 or 20 * len(f) < len(w) for f, w in zip(found, split[at:end])]
                 at = end
             return out
 
@@ -314,12 +321,34 @@ def keep_uncontaminated(
     return where_text(docs, make, text_col)
 
 
-_HITS = "doc_id long, hit array<long>, items array<string>"
+_HITS = "key string, n_words long, hit array<long>, items array<string>"
+
+
+def _block_hits(read: DataFrame, n: int, block, shard_words: int) -> DataFrame:
+    """Rows of ``_word_hits`` for all blocks, one for each distinct text and block; a block is released before the next."""
+    keyed, found = read.select(F.sha2("text", 256).alias("key"), "text"), None
+    for k in range(n):
+        phrases = block(k)
+        one = stage(map_arrow(keyed, lambda p=phrases: _word_hits(p.value, shard_words), _HITS).dropDuplicates(["key"]))
+        phrases.destroy()
+        found = one if found is None else found.unionAll(one)
+    return found
+
+
+def _all_hits(found: DataFrame) -> DataFrame:
+    """The hits of all blocks, one row for each text (by its hash) that has any."""
+    return found.groupBy("key").agg(
+        F.max("n_words").alias("n_words"),
+        F.array_sort(F.array_distinct(F.flatten(F.collect_list("hit")))).alias("hit"),
+        F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"),
+    )
 
 
 def _word_hits(phrases: Phrases, shard_words: int):
-    """The documents with hits: the positions of hit words and the items, for one block."""
-    schema = pa.schema([("doc_id", pa.int64()), ("hit", pa.list_(pa.int64())), ("items", pa.list_(pa.string()))])
+    """The texts with hits: their words, the positions of hit words and the items, for one block."""
+    schema = pa.schema(
+        [("key", pa.string()), ("n_words", pa.int64()), ("hit", pa.list_(pa.int64())), ("items", pa.list_(pa.string()))]
+    )
 
     def run(batches):
         for b in batches:
@@ -332,8 +361,8 @@ def _word_hits(phrases: Phrases, shard_words: int):
                 hits, items = _shard(phrases, split[at:end])
                 keep = [k for k in range(end - at) if len(hits[k])]
                 yield batch(
-                    schema, doc_id=[ids[at + k] for k in keep], hit=[hits[k] for k in keep],
-                    items=[list(items[k]) for k in keep],
+                    schema, key=[ids[at + k] for k in keep], n_words=[len(split[at + k]) for k in keep],
+                    hit=[hits[k] for k in keep], items=[list(items[k]) for k in keep],
                 )
                 at = end
 
@@ -341,11 +370,8 @@ def _word_hits(phrases: Phrases, shard_words: int):
 
 
 def _merge_blocks(read: DataFrame, found: DataFrame) -> DataFrame:
-    """Joins the hits of several blocks to the documents; documents with one id have one text."""
-    merged = found.groupBy("doc_id").agg(
-        F.array_sort(F.array_distinct(F.flatten(F.collect_list("hit")))).alias("hit"),
-        F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"),
-    )
+    """Joins the hits of several blocks to the documents, by a hash of the text."""
+    merged = _all_hits(found).drop("n_words")
     schema = pa.schema(
         [("doc_id", pa.int64()), ("n_words", pa.int64()), ("n_hit", pa.int64()), ("n_items", pa.int64())]
         + [("items_sha256", pa.string()), ("contaminated", pa.bool_()), ("spans", _SPANS)]
@@ -362,7 +388,7 @@ def _merge_blocks(read: DataFrame, found: DataFrame) -> DataFrame:
                 spans=[_char_spans(t, np.array(x)) if x else [] for t, x in zip(raw, hits)],
             )
 
-    joined = read.join(merged, "doc_id", "left").select("doc_id", "text", "hit", "items")
+    joined = read.join(merged, F.sha2("text", 256) == F.col("key"), "left").select("doc_id", "text", "hit", "items")
     return map_arrow(joined, lambda: run, SCHEMA)
 
 

@@ -4,7 +4,7 @@ import re
 import numpy as np
 import pytest
 
-from tagloom.llm.fm_index import FMIndex, find_passages, remove_spans
+from tagloom.llm.fm_index import FMIndex, find_passages, keep_uncontaminated, remove_spans
 
 WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
@@ -83,3 +83,25 @@ def test_repeated_rows_and_empty_tables(spark):
     assert len(columns(find_passages(df, spark.createDataFrame([(2, "three words")], none.schema)))) == 3
     assert [r[2] for r in columns(find_passages(df, none))] == [0, 0, 0]
     assert columns(find_passages(df.limit(0), none)) == []
+
+
+def test_one_block_is_held_at_a_time(spark, monkeypatch):
+    held, most, make = [], [], spark.sparkContext.broadcast
+
+    def broadcast(value):
+        out = make(value)
+        release = out.destroy
+        out.destroy = lambda: (held.remove(out), release())
+        held.append(out), most.append(len(held))
+        return out
+
+    monkeypatch.setattr(spark.sparkContext, "broadcast", broadcast)
+    bench = spark.createDataFrame([(k, f"item number w{k} has these words") for k in range(20)], "item_id long, text string")
+    rows = [(k, f"before item number w{k} has these words after " + "x " * 30 * k) for k in range(30)]
+    rows += [(None, rows[3][1]), (3, rows[3][1]), (3, "other words"), (40, None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = columns(find_passages(df, bench, block_chars=100))
+    assert len(most) > 3 and max(most) == 1 and not held
+    assert got == by_hand(rows, [tuple(r) for r in bench.collect()])
+    kept = [sorted(map(tuple, keep_uncontaminated(df, bench, block_chars=n).collect()), key=str) for n in (100, 50_000_000)]
+    assert kept[0] == kept[1] and 0 < len(kept[0]) < len(rows)
