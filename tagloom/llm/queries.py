@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from tagloom.llm.common import table
 
@@ -106,3 +106,47 @@ def op5(spark, d):
     from tagloom.llm.embedding_links import link_embeddings
 
     return link_embeddings(table(spark, d, "embeddings"))
+
+
+def with_periodic_tails(docs: DataFrame) -> DataFrame:
+    """The documents of op13's contract: where h = crc32(doc_id) is divisible by ten, the words from a on repeat p words."""
+    h = F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary"))
+    planted = docs.select("doc_id", "text", h.alias("h"), F.floor(h / 10).alias("g"))
+    words = F.when(F.col("h") % 10 == 0, F.regexp_extract_all("text", F.lit(r"[^\x20\x09-\x0D]+"), F.lit(0)))
+    planted = planted.withColumn("words", words).withColumn("n", F.size("words"))
+    planted = planted.withColumn("a", F.when(F.col("n") > 0, F.col("g") % F.col("n")))
+    planted = planted.withColumn("p", F.lit(1) + F.floor((F.col("n") - F.col("a")) / (3 + F.col("g") % 8)))
+
+    def word(w, i):
+        moved = F.get("words", (F.col("a") + (i - F.col("a")) % F.col("p")).cast("int"))
+        return F.when(i < F.col("a"), w).otherwise(moved)
+
+    text = F.when(F.col("n") > 0, F.array_join(F.transform("words", word), " ")).otherwise(F.col("text"))
+    return planted.select("doc_id", text.alias("text"))
+
+
+def run_digest(found: DataFrame) -> DataFrame:
+    """The greatest run by length / period, compared exactly, and digests of the runs and of the text."""
+    def greater(x, y):
+        left, right = x["length"] * y["period"], y["length"] * x["period"]
+        smaller = F.struct(x["start"], x["period"]) < F.struct(y["start"], y["period"])
+        return F.when(left > right, -1).when(left < right, 1).when(smaller, -1).otherwise(1)
+
+    best = F.get(F.array_sort("runs", greater), 0)
+    line = lambda r: F.concat_ws(",", *[r[k].cast("string") for k in ("start", "length", "period")])
+    lines = F.array_join(F.transform("runs", lambda r: F.concat(line(r), F.lit("\n"))), "")
+    return found.withColumn("best", best).select(
+        "doc_id",
+        F.size("runs").cast("long").alias("n_runs"),
+        *[F.col(f"best.{k}").alias(k) for k in ("start", "length", "period")],
+        F.floor(1000 * F.col("best.length") / F.col("best.period")).alias("exponent_milli"),
+        F.sha2(lines, 256).alias("runs_sha256"),
+        F.sha2("text", 256).alias("collapsed_sha256"),
+    )
+
+
+@query("op13_periodic_runs")
+def op13(spark, d):
+    from tagloom.llm.periodic_runs import find_runs
+
+    return run_digest(find_runs(with_periodic_tails(table(spark, d, "documents"))))
