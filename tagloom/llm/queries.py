@@ -150,3 +150,17 @@ def op13(spark, d):
     from tagloom.llm.periodic_runs import find_runs
 
     return run_digest(find_runs(with_periodic_tails(table(spark, d, "documents"))))
+
+
+def _warc_oracle() -> str:
+    from tagloom.llm.warc import ORACLE
+
+    return ORACLE
+
+
+@query("op12_warc_revisits", _warc_oracle())
+def op12(spark, d):
+    from tagloom.llm.warc import archive_pages
+
+    found = archive_pages(table(spark, d, "pages"))
+    return found.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
