@@ -164,3 +164,17 @@ def op12(spark, d):
 
     found = archive_pages(table(spark, d, "pages"))
     return found.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+def with_deleted_letters(doc_id, run):
+    """The words of op11's contract: where h = crc32(doc_id:run) is divisible by 97, letter h % length goes."""
+    h = F.crc32(F.concat(F.coalesce(doc_id.cast("string"), F.lit("")), F.lit(":"), run).cast("binary"))
+    at = (h % F.length(run)).cast("int")
+    return F.when(h % 97 == 0, F.concat(F.substring(run, F.lit(1), at), F.substring(run, at + 2, F.length(run)))).otherwise(run)
+
+
+@query("op11_spelling_variants")
+def op11(spark, d):
+    from tagloom.llm.spelling import spelling_variants
+
+    return spelling_variants(table(spark, d, "documents"), with_deleted_letters)
