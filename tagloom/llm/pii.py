@@ -30,7 +30,8 @@ _IP = re.compile(r"([0-9]+)\.([0-9]+)\.([0-9]+)\.([0-9]+)")
 _CARD = re.compile(r"[0-9](?:[ -]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
 _URL = re.compile(r"[A-Za-z0-9._~:/?#\[\]@!$&'()*+,;=%-]+")
-_NUMBER = re.compile(r"(?:\s*(?:number|no|nr|id)?\.?\s*[:#=]?\s*)([A-Za-z]{0,4}[0-9][A-Za-z0-9-]{4,33})")
+# Possessive parts: what they take is never given back, which could not help a later part, so a scan is linear.
+_NUMBER = re.compile(r"\s*+(?:number|no|nr|id)?+\.?+\s*+[:#=]?+\s*+([A-Za-z]{0,4}[0-9][A-Za-z0-9-]{4,33})")
 _DIGITS = "0123456789"
 
 

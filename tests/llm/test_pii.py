@@ -1,8 +1,10 @@
 import hashlib
 import random
 import re
+import time
 
-from tagloom.llm.pii import _automaton, find_personal_data, find_spans, luhn, redact
+from tagloom.llm import pii
+from tagloom.llm.pii import CUES, _automaton, find_personal_data, find_spans, luhn, redact
 
 SF = "/root/testdata/sf0.01"
 BASE = {
@@ -81,3 +83,24 @@ def test_edges(spark):
 
 def test_redact():
     assert redact("to a@b.co now", "email:3:9") == "to [email] now"
+
+
+def test_long_white_space_is_read_once():
+    """Each cue and anchor before a hundred thousand spaces, digits, dots or local characters, in seconds."""
+    automaton, began = _automaton(), time.monotonic()
+    for fill in (" ", "\t\n", "1", ".", "a", "1.", "1 ", "(", "a@", "+1", "a."):
+        run = fill * (100_000 // len(fill))
+        for cue in [*CUES, "account no.", "+4", "x@", "http://"]:
+            find_spans(f"{cue}{run}x", automaton)
+    text = "".join(f"{c}{' ' * 100_000}DE12345678 " for c in CUES)
+    assert sum(k == 5 for _, k, _ in find_spans(text, automaton)) == len(CUES)
+    assert time.monotonic() - began < 60
+
+
+def test_account_numbers_as_with_backtracking():
+    plain = re.compile(r"(?:\s*(?:number|no|nr|id)?\.?\s*[:#=]?\s*)([A-Za-z]{0,4}[0-9][A-Za-z0-9-]{4,33})")
+    rng = random.Random(6)
+    for _ in range(30_000):
+        text = "".join(rng.choices(["number", "no", "nr", "id", ".", " ", "  ", ":", "#", "a", "n", "o", "1", "12", "1234", "-"], k=rng.randint(0, 9)))
+        a, b = plain.match(text), pii._NUMBER.match(text)
+        assert (a and a.span(1)) == (b and b.span(1)), text
