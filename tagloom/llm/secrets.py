@@ -47,6 +47,8 @@ ADDED_RULES = [
     Rule("chat_token", r"xox[abprs]-[A-Za-z0-9-]+", 0, 20),
 ]
 MOST_ALTERNATIVES = 64
+#: Elements summed in one piece: an array's length times this many are copied.
+PIECE = 256
 
 
 def mandatory_trigrams(pattern: str) -> list[frozenset[str]] | None:
@@ -125,28 +127,68 @@ def _intersected(index: DataFrame, queries: dict[str, list[frozenset[str]]], tri
     return index.groupBy("doc_id").agg(*bits).select("doc_id", *flags)
 
 
+def _sums(numbers: Column) -> Column:
+    """The sums of an array's first 1, 2, ... elements, taken in pieces of ``PIECE`` so that long arrays stay cheap.
+
+    Appending to an array copies it; only arrays of a piece's length, or one element a piece, are appended to.
+    """
+    none = F.array().cast("array<bigint>")
+
+    def running(some: Column, begin: Column) -> Column:
+        def step(done, x):
+            now = done["at"] + x
+            return F.struct(now.alias("at"), F.concat(done["sums"], F.array(now)).alias("sums"))
+
+        return F.aggregate(some, F.struct(begin.alias("at"), none.alias("sums")), step, lambda done: done["sums"])
+
+    zero = F.lit(0).cast("long")
+    firsts = F.sequence(F.lit(0), F.greatest(F.size(numbers) - 1, F.lit(0)), F.lit(PIECE))
+    pieces = F.transform(firsts, lambda at: F.slice(numbers, at + 1, PIECE))
+    totals = F.transform(pieces, lambda some: F.aggregate(some, zero, lambda x, y: x + y))
+    before = F.concat(F.array(zero), running(totals, zero))
+    return F.flatten(F.zip_with(pieces, F.slice(before, 1, F.size(pieces)), running))
+
+
 def _spans(rule: Rule, number: int) -> Column:
-    """The counting matches of a rule as (start, number, end): gaps and matches alternate in a text."""
-    text, pattern = F.col("text"), F.lit(rule.pattern)
-    parts = F.arrays_zip(
-        F.regexp_extract_all(text, pattern, F.lit(0)).alias("found"),
-        F.regexp_extract_all(text, pattern, F.lit(rule.group)).alias("counts"),
-        F.split(text, rule.pattern, -1).alias("gap"),
-    )
+    """The counting matches of a rule as (start, number, end), from the columns that ``_matches`` made."""
     span = "struct<start:bigint,kind:int,end:bigint>"
-    begin = F.struct(F.lit(0).cast("long").alias("at"), F.array().cast(f"array<{span}>").alias("spans"))
-
-    def step(done, p):
-        start = done["at"] + F.length(p["gap"])
-        end = start + F.coalesce(F.length(p["found"]), F.lit(0))
-        one = F.array(F.struct(start.alias("start"), F.lit(number).alias("kind"), end.alias("end")).cast(span))
-        spans = F.when(F.length(p["counts"]) >= rule.least, F.concat(done["spans"], one)).otherwise(done["spans"])
-        return F.struct(end.cast("long").alias("at"), spans.alias("spans"))
-
-    found = F.aggregate(parts, begin, step, lambda done: done["spans"])
-    return F.when(F.col(f"may_{rule.name}") & text.rlike(rule.quick or rule.pattern), found).otherwise(
-        F.array().cast(f"array<{span}>")
-    )
+    found, counts, ends = (F.col(f"{c}_{rule.name}") for c in ("found", "counts", "ends"))
+
+    def one(found, counts, end):
+        start = end - F.length(found)
+        return F.struct(start.alias("start"), F.lit(number).alias("kind"), end.alias("end"), F.length(counts).alias("counts"))
+
+    rows = F.transform(F.arrays_zip(found.alias("f"), counts.alias("c"), ends.alias("e")), lambda m: one(m["f"], m["c"], m["e"]))
+    spans = F.transform(F.filter(rows, lambda m: m["counts"] >= rule.least), lambda m: F.struct(m["start"], m["kind"], m["end"]).cast(span))
+    return F.coalesce(spans, F.array().cast(f"array<{span}>"))
+
+
+def _matches(found: DataFrame, rules: list[Rule]) -> DataFrame:
+    """Adds, for each rule and candidate, its matches, the groups that count and where the matches end.
+
+    Gaps and matches alternate in a text, so a match ends at the sum of the lengths up to it.
+    """
+    text = F.col("text")
+    for columns in (
+        lambda r: {
+            f"found_{r.name}": F.regexp_extract_all(text, F.lit(r.pattern), F.lit(0)),
+            f"counts_{r.name}": F.regexp_extract_all(text, F.lit(r.pattern), F.lit(r.group)),
+            f"gaps_{r.name}": F.split(text, r.pattern, -1),
+        },
+        lambda r: {
+            f"lengths_{r.name}": F.zip_with(
+                F.col(f"found_{r.name}"), F.slice(F.col(f"gaps_{r.name}"), 1, F.size(f"found_{r.name}")),
+                lambda m, gap: (F.length(m) + F.length(gap)).cast("long"),
+            )
+        },
+        lambda r: {f"ends_{r.name}": _sums(F.col(f"lengths_{r.name}"))},
+    ):
+        made = {}
+        for r in rules:
+            may = F.col(f"may_{r.name}")
+            made |= {k: F.when(may, v) for k, v in columns(r).items()}
+        found = found.withColumns(made)
+    return found
 
 
 def find_secrets(
@@ -180,8 +222,8 @@ def find_secrets(
         f"may_{r.name}": F.coalesce(F.col(f"may_{r.name}"), F.lit(False)) if r.name in queries else F.lit(True)
         for r in rules
     }
-    found = read.select("doc_id", "text", *[v.alias(k) for k, v in flags.items()])
-    found = found.select("doc_id", *[_spans(r, k).alias(f"s_{r.name}") for k, r in enumerate(rules)])
+    found = read.select("doc_id", "text", *[(v & F.col("text").rlike(r.quick or r.pattern)).alias(f"may_{r.name}") for r, v in zip(rules, flags.values())])
+    found = _matches(found, rules).select("doc_id", *[_spans(r, k).alias(f"s_{r.name}") for k, r in enumerate(rules)])
     names = F.array(*[F.lit(r.name) for r in rules])
 
     def written(some: list[Rule]) -> Column:

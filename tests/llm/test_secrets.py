@@ -1,6 +1,7 @@
 import hashlib
 import random
 import re
+import time
 
 from tagloom.llm.secrets import Rule, build_index, find_secrets, mandatory_trigrams
 
@@ -66,3 +67,13 @@ def test_edges(spark):
 def test_no_python_in_the_plan(spark):
     plan = find_secrets(spark.read.parquet(f"{SF}/documents.parquet"))._jdf.queryExecution().toString()
     assert "Python" not in plan and "Arrow" not in plan
+
+
+def test_many_matches_in_one_text(spark):
+    """Two hundred thousand matches of one rule, and a size on each side of a piece's border."""
+    rng, began = random.Random(8), time.monotonic()
+    rows = [(1, " ".join(f"{rng.getrandbits(64):016x}" for _ in range(200_000)))]
+    rows += [(n, "x" + "0123456789abcdef é " * n) for n in (255, 256, 257, 512, 513)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(1)
+    check(find_secrets(df), rows)
+    assert time.monotonic() - began < 60
