@@ -210,6 +210,23 @@ def _char_spans(text: str, hit: np.ndarray) -> list[dict]:
     return [{"start": places[p[0]][0], "end": places[p[-1]][1]} for p in np.split(hit, cuts)]
 
 
+def _shards(rows, shard_words: int):
+    """Lists of (row, words of its text), each cut when ``shard_words`` words are held (one text more at most).
+
+    ``rows`` end in a text; it is split when its turn comes, so the words of a batch are never held together.
+    """
+    held, out = 0, []
+    for row in rows:
+        w = words(row[-1] or "")
+        out.append((row, w))
+        held += len(w) + 1
+        if held >= shard_words:
+            yield out
+            held, out = 0, []
+    if out:
+        yield out
+
+
 def _finder(phrases: Phrases, shard_words: int):
     schema = pa.schema(
         [("doc_id", pa.int64()), ("n_words", pa.int64()), ("n_hit", pa.int64()), ("n_items", pa.int64())]
@@ -227,17 +244,9 @@ def _finder(phrases: Phrases, shard_words: int):
         )
 
     def run(batches):
-        ids, raw, split, held = [], [], [], 0
-        for b in batches:
-            for i, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                w = words(t)
-                ids.append(i), raw.append(t), split.append(w)
-                held += len(w) + 1
-                if held >= shard_words:
-                    yield flush(ids, raw, split)
-                    ids, raw, split, held = [], [], [], 0
-        if ids:
-            yield flush(ids, raw, split)
+        rows = (row for b in batches for row in zip(b.column(0).to_pylist(), b.column(1).to_pylist()))
+        for shard in _shards(rows, shard_words):
+            yield flush(*zip(*(row for row, _ in shard)), [w for _, w in shard])
 
     return run
 
@@ -247,7 +256,7 @@ def find_passages(
     benchmark: DataFrame,
     window: int = 13,
     shard_words: int = 500_000,
-    block_chars: int = 50_000_000,
+    block_chars: int = 4_000_000,
     id_col: str = "doc_id",
     text_col: str = "text",
 ) -> DataFrame:
@@ -287,7 +296,7 @@ def _phrase_blocks(benchmark: DataFrame, window: int, block_chars: int):
 
 
 def keep_uncontaminated(
-    docs: DataFrame, benchmark: DataFrame, window: int = 13, shard_words: int = 500_000, block_chars: int = 50_000_000,
+    docs: DataFrame, benchmark: DataFrame, window: int = 13, shard_words: int = 500_000, block_chars: int = 4_000_000,
     text_col: str = "text",
 ) -> DataFrame:
     """The rows of ``docs``, with all their columns, that are not contaminated; nothing is shuffled.
@@ -305,15 +314,11 @@ def keep_uncontaminated(
 
     def make():
         def passes(raw):
-            out, at = [], 0
-            split = [words(t) for t in raw]
-            while at < len(split):
-                end, held = at, 0
-                while end < len(split) and held < shard_words:
-                    held, end = held + len(split[end]) + 1, end + 1
-                found = _shard(phrases.value, split[at:end])[0]
-                out += [len(f) == 0 or 20 * len(f) < len(w) for f, w in zip(found, split[at:end])]
-                at = end
+            out = []
+            for shard in _shards(zip(raw), shard_words):
+                split = [w for _, w in shard]
+                found = _shard(phrases.value, split)[0]
+                out += [len(f) == 0 or 20 * len(f) < len(w) for f, w in zip(found, split)]
             return out
 
         return passes
@@ -351,20 +356,15 @@ def _word_hits(phrases: Phrases, shard_words: int):
     )
 
     def run(batches):
-        for b in batches:
-            ids, split = b.column(0).to_pylist(), [words(t) for t in b.column(1).to_pylist()]
-            at = 0
-            while at < len(ids):
-                end, held = at, 0
-                while end < len(ids) and held < shard_words:
-                    held, end = held + len(split[end]) + 1, end + 1
-                hits, items = _shard(phrases, split[at:end])
-                keep = [k for k in range(end - at) if len(hits[k])]
-                yield batch(
-                    schema, key=[ids[at + k] for k in keep], n_words=[len(split[at + k]) for k in keep],
-                    hit=[hits[k] for k in keep], items=[list(items[k]) for k in keep],
-                )
-                at = end
+        rows = (row for b in batches for row in zip(b.column(0).to_pylist(), b.column(1).to_pylist()))
+        for shard in _shards(rows, shard_words):
+            split = [w for _, w in shard]
+            hits, items = _shard(phrases, split)
+            keep = [k for k in range(len(shard)) if len(hits[k])]
+            yield batch(
+                schema, key=[shard[k][0][0] for k in keep], n_words=[len(split[k]) for k in keep],
+                hit=[hits[k] for k in keep], items=[list(items[k]) for k in keep],
+            )
 
     return run
 

@@ -4,6 +4,7 @@ import re
 import numpy as np
 import pytest
 
+from tagloom.llm import fm_index
 from tagloom.llm.fm_index import FMIndex, find_passages, keep_uncontaminated, remove_spans
 
 WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
@@ -105,3 +106,22 @@ def test_one_block_is_held_at_a_time(spark, monkeypatch):
     assert got == by_hand(rows, [tuple(r) for r in bench.collect()])
     kept = [sorted(map(tuple, keep_uncontaminated(df, bench, block_chars=n).collect()), key=str) for n in (100, 50_000_000)]
     assert kept[0] == kept[1] and 0 < len(kept[0]) < len(rows)
+
+
+def test_words_of_a_shard_are_all_that_is_held(monkeypatch):
+    """A text is split when its shard takes it; what is held never exceeds a shard and one text."""
+    live, most, split = [0], [0], fm_index.words
+
+    def words(text):
+        out = split(text)
+        live[0] += len(out)
+        most[0] = max(most[0], live[0])
+        return out
+
+    monkeypatch.setattr(fm_index, "words", words)
+    rows = [(k, "a b c " * (k % 50)) for k in range(500)]
+    seen = []
+    for shard in fm_index._shards(iter(rows), 300):
+        seen += [row for row, _ in shard]
+        live[0] -= sum(len(w) for _, w in shard)
+    assert seen == rows and live[0] == 0 and most[0] <= 300 + 150
