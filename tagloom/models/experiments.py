@@ -83,7 +83,7 @@ def run_grid(
     """
     with _cached(prepare(df, features, label, order)) as data:
         train, test = data.where("part = 'train'"), data.where("part = 'test'")
-        models = _each(df.sparkSession, lambda s: fit_model(train, s), list(specs), parallel)
+        models = _each(df.sparkSession, lambda s: fit_model(train, s, order), list(specs), parallel)
         if fitted is not None:
             fitted.update({s.name: m for s, m in zip(specs, models)})
         return _fixed(_score([(s, predict(m, test)) for s, m in zip(specs, models)]))
@@ -99,7 +99,7 @@ def fit_predict(
 ) -> DataFrame:
     """Test predictions of one configuration."""
     data = stage(prepare(df, features, label, order))  # read by the fit and, later, by the prediction
-    model = fit_model(data.where("part = 'train'"), spec)
+    model = fit_model(data.where("part = 'train'"), spec, order)
     return predict(model, data.where("part = 'test'"), keep)
 
 
@@ -107,7 +107,7 @@ def fit_importance(
     df: DataFrame, features: Sequence[str], label: str, spec: Spec, order: Sequence[str] = ()
 ) -> DataFrame:
     with _cached(prepare(df, features, label, order)) as data:
-        model = fit_model(data.where("part = 'train'"), spec)
+        model = fit_model(data.where("part = 'train'"), spec, order)
     return importance(df.sparkSession, model, features)
 
 
@@ -129,12 +129,12 @@ def select_and_refit(
     spark = df.sparkSession
     with _cached(prepare(df, features, label, order)) as data:
         vectors = data.drop("features", "label")
-        full = fit_model(data.where("part = 'train'"), spec)
+        full = fit_model(data.where("part = 'train'"), spec, order)
         ranked = [r.feature for r in importance(spark, full, features).orderBy("rank").collect()]
 
         def refit(n: int):
             chosen = assemble(vectors, ranked[:n], label, order)
-            model = fit_model(chosen.where("part = 'train'"), spec)
+            model = fit_model(chosen.where("part = 'train'"), spec, order)
             return predict(model, chosen.where("part = 'test'"))
 
         tried = [("base_full", len(ranked), predict(full, data.where("part = 'test'")))]
@@ -181,13 +181,13 @@ def walk_forward(
         data = stage(prepare(rows, features, label, order))  # read by the fits and, later, by the prediction
         train = data.where("part = 'train'")
         train_size = train.count()
-        model = fit_model(train, spec)
+        model = fit_model(train, spec, order)
         test = data.where("part = 'test'")
         if reselect is not None:
             ranked = importance(spark, model, features).orderBy("rank").limit(reselect)
             chosen = [r.feature for r in ranked.collect()]
             again = assemble(data.drop("features", "label"), chosen, label, order)
-            model = fit_model(again.where("part = 'train'"), spec)
+            model = fit_model(again.where("part = 'train'"), spec, order)
             test = again.where("part = 'test'")
         return k, train_size, predict(model, test, ["fold", *keep])
 

@@ -6,16 +6,21 @@ import json
 import math
 from collections.abc import Sequence
 from functools import reduce
+from multiprocessing.pool import ThreadPool
 
+from pyspark import inheritable_thread_target
 from pyspark.ml.feature import VectorAssembler
+from pyspark.ml.linalg import DenseVector, Vectors
 from pyspark.ml.regression import GBTRegressor, LinearRegression, RandomForestRegressor
 from pyspark.sql import DataFrame, functions as F
 
+from tagloom.models.boosting import fit_boosted
 from tagloom.models.specs import SEED, UNLIMITED_DEPTH, Spec
 from tagloom.operators.ranks import over_series
 from tagloom.sources.staging import shared_folder
 
-ROWS_PER_PARTITION = 50_000
+PARTITION_BYTES = 64_000_000  # of feature values in a partition
+FOREST_PARTS = 8  # forests that grow side by side when the rows are one partition
 
 
 class NaiveMean:
@@ -35,11 +40,11 @@ def assemble(
 
     With ``order`` (unique ids) rows are laid out the same way on every run, so that a seed always
     draws the same samples whatever the session's settings. Tree learners keep statistics of all
-    open nodes per partition, so there is one partition for every ``ROWS_PER_PARTITION`` rows.
+    open nodes per partition, so there is one partition for every ``PARTITION_BYTES`` of values.
     """
     rows = df.where(F.col(label).isNotNull())
     if order:
-        parts = max(1, math.ceil(rows.count() / ROWS_PER_PARTITION))
+        parts = max(1, math.ceil(rows.count() * 8 * (len(features) + 1) / PARTITION_BYTES))
         rows = rows.repartition(parts, *order).sortWithinPartitions(*order)
     vector = VectorAssembler(inputCols=list(features), outputCol="features", handleInvalid="error")
     return vector.transform(rows.withColumn("label", F.col(label).cast("double")))
@@ -56,18 +61,57 @@ def _tree_params(p: dict) -> dict:
     }
 
 
-def fit_model(train: DataFrame, spec: Spec):
-    """Fit one configuration on assembled training rows."""
+class Forests:
+    """Forests grown side by side on the same rows; a prediction is the mean over all their trees."""
+
+    def __init__(self, forests: list):
+        self.forests = forests
+        self.trees = [t for f in forests for t in f.trees]
+
+    def transform(self, df: DataFrame) -> DataFrame:
+        columns = [F.col(f"`{c}`") for c in df.columns]
+        for k, forest in enumerate(self.forests):
+            df = forest.copy().setPredictionCol(f"_forest{k}").transform(df)
+        total = reduce(lambda a, b: a + b, [F.col(f"_forest{k}") * f.getNumTrees for k, f in enumerate(self.forests)])
+        return df.select(*columns, (total / len(self.trees)).alias("prediction"))
+
+    @property
+    def featureImportances(self) -> DenseVector:  # noqa: N802, as Spark ML names it
+        total = sum(f.featureImportances.toArray() * f.getNumTrees for f in self.forests)
+        return Vectors.dense(total / total.sum() if total.sum() else total)
+
+
+def _forest(train: DataFrame, p: dict):
+    """One forest, or on rows of a single partition several smaller ones at a time, as one task would grow all trees.
+
+    Which it is depends on the rows alone, so a seed draws the same samples everywhere.
+    """
+    parts = min(FOREST_PARTS, p["trees"]) if train.rdd.getNumPartitions() == 1 else 1
+    shared = _tree_params(p) | {"bootstrap": p.get("bootstrap", True)}
+
+    def grow(k: int):
+        trees = p["trees"] // parts + (k < p["trees"] % parts)
+        return RandomForestRegressor(numTrees=trees, **shared | {"seed": SEED + k}).fit(train)
+
+    if parts == 1:
+        return grow(0)
+    with ThreadPool(parts) as pool:
+        return Forests(pool.map(inheritable_thread_target(train.sparkSession)(grow), range(parts)))
+
+
+def fit_model(train: DataFrame, spec: Spec, order: Sequence[str] = ()):
+    """Fit one configuration on assembled training rows; ``order`` names their ids, which row samples need."""
     p = spec.params
     if spec.model == "random_forest":
-        forest = RandomForestRegressor(numTrees=p["trees"], bootstrap=p.get("bootstrap", True), **_tree_params(p))
-        return forest.fit(train)
+        return _forest(train, p)
     if spec.model == "gradient_boosting":
         spark = train.sparkSession
         if spark.sparkContext.getCheckpointDir() is None:
             spark.sparkContext.setCheckpointDir(shared_folder(spark))
         gbt = GBTRegressor(maxIter=p["trees"], stepSize=p["rate"], **_tree_params(p))
         return gbt.fit(train)
+    if spec.model == "boosted_trees":
+        return fit_boosted(train, **p, order=order)
     if spec.model in ("ridge", "elasticnet"):
         n, spread = train.agg(F.count("label"), F.stddev_pop("label")).first()
         if spec.model == "ridge":

@@ -11,12 +11,12 @@ UNLIMITED_DEPTH = 30  # the deepest tree Spark ML grows
 @dataclass(frozen=True)
 class Spec:
     name: str
-    model: str  # random_forest, gradient_boosting, ridge, elasticnet or naive_mean
+    model: str  # random_forest, gradient_boosting, boosted_trees, ridge, elasticnet or naive_mean
     params: dict = field(default_factory=dict)
 
 
 # The published parameter sets. Depth None is unlimited; the share of features
-# tried per split is 'all' unless given.
+# tried per split is 'all' unless given; ``rows`` and ``columns`` are the shares each tree draws.
 SPECS = {
     s.name: s
     for s in [
@@ -34,13 +34,13 @@ SPECS = {
         Spec("rf_v6_plain", "random_forest", {"trees": 300}),
         Spec(
             "xgb_small",
-            "gradient_boosting",
-            {"trees": 200, "depth": 4, "rate": 0.05, "rows": 0.9, "features": "0.9"},
+            "boosted_trees",
+            {"trees": 200, "depth": 4, "rate": 0.05, "rows": 0.9, "columns": 0.9},
         ),
         Spec(
             "xgb_medium",
-            "gradient_boosting",
-            {"trees": 300, "depth": 6, "rate": 0.05, "rows": 0.9, "features": "0.9"},
+            "boosted_trees",
+            {"trees": 300, "depth": 6, "rate": 0.05, "rows": 0.9, "columns": 0.9},
         ),
         Spec("gb_v6", "gradient_boosting", {"trees": 300, "depth": 3, "rate": 0.05}),
         Spec("gb_default", "gradient_boosting", {"trees": 100, "depth": 3, "rate": 0.1}),

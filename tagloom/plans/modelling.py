@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tagloom.models import experiments as ex
-from tagloom.models.fit import assemble, fit_model, naive_mean, persistence
+from tagloom.models.boosting import tree_columns
+from tagloom.models.fit import assemble, fit_model, naive_mean, persistence, predict
 from tagloom.models.specs import SPECS, Spec
 from tagloom.operators.metrics import regression_metrics
 from tagloom.operators.order import cutoff_split, expanding_folds, time_split
@@ -239,6 +240,42 @@ def stump_fit(spark, d):
     return rounded(sides, "mean_low", "mean_high")
 
 
+STUMPS = Spec("stumps", "boosted_trees", {"trees": 2, "depth": 1, "rate": 0.5, "rows": 0.9, "columns": 0.7})
+FEW = ["l_linenumber", "tax", "discount"]
+
+
+def _boost_step_sql(tree: int, rows: str) -> str:
+    """One boosting step over ``rows`` (with ``margin``): the best split of the tree's columns on its own rows."""
+    chosen = [FEW[c] for c in tree_columns(len(FEW), STUMPS.params["columns"], tree)]
+    part = f"CAST('0x' || substr(md5(concat_ws('|', {tree}, {', '.join(src.LINE_IDS)})), 1, 8) AS BIGINT) < {int(STUMPS.params['rows'] * 2**32)}"
+    long = " UNION ALL ".join(f"SELECT '{c}' AS feature, {c} AS x, y - margin AS r FROM {rows} WHERE {part}" for c in chosen)
+    value = " ".join(f"WHEN '{c}' THEN {c}" for c in chosen)
+    return f"""bars{tree} AS (SELECT feature, x, lead(x) OVER w AS next, sum(n) OVER w AS nl, sum(s) OVER w AS sl,
+          sum(n) OVER (PARTITION BY feature) AS n, sum(s) OVER (PARTITION BY feature) AS s
+          FROM (SELECT feature, x, count(*) AS n, sum(r) AS s FROM ({long}) GROUP BY ALL) WINDOW w AS (PARTITION BY feature ORDER BY x)),
+        best{tree} AS (SELECT feature, (x + next) / 2 AS bar, sl / nl AS low, (s - sl) / (n - nl) AS high FROM bars{tree} WHERE next IS NOT NULL
+          ORDER BY sl * sl / nl + (s - sl) * (s - sl) / (n - nl) DESC LIMIT 1),
+        step{tree} AS (SELECT t.* REPLACE (margin + {STUMPS.params["rate"]} * CASE WHEN CASE feature {value} END <= bar THEN low ELSE high END AS margin)
+          FROM {rows} t, best{tree})"""
+
+
+@query(
+    "boosted_stumps",
+    f"""WITH lines AS (SELECT *, round(l_tax * 100) AS tax, round(l_discount * 100) AS discount, l_extendedprice / 1000 AS y FROM lineitem),
+        step AS (SELECT *, avg(y) OVER () AS margin FROM lines), {_boost_step_sql(0, "step")}, {_boost_step_sql(1, "step0")}
+        SELECT l_linenumber, tax, discount, count(*) AS n, round(max(margin) + 1e-9, 6) AS y_pred FROM step1 GROUP BY ALL""",
+)
+def boosted_stumps(spark, d):
+    """Two boosting steps of depth one over all line items, each with its own columns and rows."""
+    lines = table(spark, d, "lineitem").select(
+        *src.LINE_IDS, F.round(F.col("l_tax") * 100).alias("tax"), F.round(F.col("l_discount") * 100).alias("discount"),
+        (F.col("l_extendedprice") / 1000).alias("y"),
+    )
+    data = assemble(lines, FEW, "y")
+    found = predict(fit_model(data, STUMPS, src.LINE_IDS), data, FEW)
+    return rounded(found.groupBy(*FEW).agg(F.count(F.lit(1)).alias("n"), F.max("y_pred").alias("y_pred")), "y_pred")
+
+
 @query("run_grid")
 def run_grid(spark, d):
     specs = [SPECS[n] for n in ("gb_default", "ridge", "naive_mean")]

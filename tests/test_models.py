@@ -132,3 +132,18 @@ def test_specs():
     assert SPECS["rf_v6"].params == {"trees": 300, "depth": 10, "min_leaf": 3}
     with pytest.raises(ValueError):
         fit.fit_model(None, Spec("x", "unknown"))
+
+
+def test_forests_side_by_side(spark, split):
+    """One partition or many: as many trees, predictions are means over them, importances add to one."""
+    one = ex.prepare(split, FEATURES, "y", ["id"]).where("part = 'train'")
+    grown = fit.fit_model(one, Spec("f", "random_forest", {"trees": 11, "depth": 3}))
+    assert isinstance(grown, fit.Forests) and len(grown.trees) == 11 and sum(grown.featureImportances) == pytest.approx(1)
+    parts = [f.transform(one).select("id", "prediction") for f in grown.forests]
+    want = {i: 0.0 for i, _ in rows(parts[0])}
+    for f, part in zip(grown.forests, parts):
+        for i, v in rows(part):
+            want[i] += v * f.getNumTrees / 11
+    assert dict(rows(grown.transform(one), "id", "prediction")) == pytest.approx(want)
+    many = fit.fit_model(one.repartition(3), Spec("f", "random_forest", {"trees": 11, "depth": 3}))
+    assert not isinstance(many, fit.Forests) and len(many.trees) == 11
