@@ -10,10 +10,12 @@ from collections.abc import Callable, Sequence
 from contextlib import contextmanager
 from multiprocessing.pool import ThreadPool
 
+import numpy as np
 from pyspark import StorageLevel, inheritable_thread_target
 from pyspark.sql import DataFrame, functions as F
 
 from tagloom.models.fit import assemble, fit_model, importance, params_json, predict
+from tagloom.models.slices import SLICE, cross_products, fold_predictions, slices_of, solve
 from tagloom.models.specs import SPECS, Spec
 from tagloom.operators.clean import null_non_finite, require_min_rows
 from tagloom.operators.columns import exclude_columns, feature_names, reconcile_features, validate_numeric
@@ -23,6 +25,7 @@ from tagloom.operators.order import best_by, time_split
 from tagloom.sources.staging import stage
 
 PARALLEL_FITS = 4
+LINEAR_MODELS = ("ridge", "elasticnet", "naive_mean")
 # The fewest rows a transfer and a walk-forward run are allowed to start from.
 TRANSFER_ROWS, WALK_FORWARD_ROWS = 10, 20
 
@@ -169,39 +172,65 @@ def walk_forward(
 
     ``folds`` comes from ``expanding_folds``. With ``reselect=n`` each fold also picks its own ``n`` best
     features from its own past; without it the given features are used in every fold, which
-    leaks if they were picked on rows that later folds test on. Every fold reads the table behind
-    ``folds`` again and stores only its own rows, so build the folds on a stored feature table.
-    Fewer than ``WALK_FORWARD_ROWS`` rows are an error.
+    leaks if they were picked on rows that later folds test on. Linear models and the mean of all folds come
+    from one pass over the rows (``slices``). For trees the rows are stored once, by slice, and a fold reads the
+    slices it needs. Fewer than ``WALK_FORWARD_ROWS`` rows are an error.
     """
-    spark = folds.sparkSession
-    require_min_rows(folds.where(F.col("fold") == n_splits), WALK_FORWARD_ROWS)  # the last fold holds all rows
-
-    def one(k: int):
-        rows = folds.where(F.col("fold") == k).withColumnRenamed("role", "part")
-        data = stage(prepare(rows, features, label, order))  # read by the fits and, later, by the prediction
-        train = data.where("part = 'train'")
-        train_size = train.count()
-        model = fit_model(train, spec, order)
-        test = data.where("part = 'test'")
-        if reselect is not None:
-            ranked = importance(spark, model, features).orderBy("rank").limit(reselect)
-            chosen = [r.feature for r in ranked.collect()]
-            again = assemble(data.drop("features", "label"), chosen, label, order)
-            model = fit_model(again.where("part = 'train'"), spec, order)
-            test = again.where("part = 'test'")
-        return k, train_size, predict(model, test, ["fold", *keep])
-
-    done = _each(spark, one, list(range(1, n_splits + 1)), parallel)
-    predictions = union_all([p for _, _, p in done])
-    sizes = spark.createDataFrame([(k, n) for k, n, _ in done], "fold int, train_size long")
+    spark, rows = folds.sparkSession, slices_of(folds, n_splits)
+    if reselect is None and spec.model in LINEAR_MODELS:
+        predictions, sizes = _linear_folds(rows, features, label, spec, n_splits, keep)
+    else:
+        rows = stage(rows, [SLICE])
+        require_min_rows(rows, WALK_FORWARD_ROWS)
+
+        def one(k: int):
+            part = F.when(F.col(SLICE) == k, "test").otherwise("train")
+            mine = rows.where(F.col(SLICE) <= k).withColumns({"fold": F.lit(k), "part": part})
+            data = stage(prepare(mine, features, label, order))  # read by the fits and, later, by the prediction
+            train = data.where("part = 'train'")
+            train_size = train.count()
+            model = fit_model(train, spec, order)
+            test = data.where("part = 'test'")
+            if reselect is not None:
+                ranked = importance(spark, model, features).orderBy("rank").limit(reselect)
+                chosen = [r.feature for r in ranked.collect()]
+                again = assemble(data.drop("features", "label"), chosen, label, order)
+                model = fit_model(again.where("part = 'train'"), spec, order)
+                test = again.where("part = 'test'")
+            return k, train_size, predict(model, test, ["fold", *keep])
+
+        done = _each(spark, one, list(range(1, n_splits + 1)), parallel)
+        predictions = union_all([p for _, _, p in done])
+        sizes = [(k, n) for k, n, _ in done]
     metrics = _fixed(
-        sizes.join(regression_metrics(predictions, ["fold"]), "fold")
+        spark.createDataFrame(sizes, "fold int, train_size long")
+        .join(regression_metrics(predictions, ["fold"]), "fold")
         .withColumnRenamed("n", "test_size")
         .withColumn("reselected", F.lit(reselect is not None))
     )
     return predictions, metrics
 
 
+def _linear_folds(rows: DataFrame, features: Sequence[str], label: str, spec: Spec, n_splits: int, keep: Sequence[str]):
+    """Predictions and (fold, training rows) of a model that follows from cross products."""
+    numeric, _ = validate_numeric(rows, list(features), "strict")
+    products = cross_products(rows, numeric, label, n_splits)
+    if products.rows.sum() < WALK_FORWARD_ROWS:
+        require_min_rows(rows, WALK_FORWARD_ROWS)
+    gaps = [f for f, n in zip(numeric, products.missing(n_splits)) if n]
+    fitted, medians, sizes = [], [], []
+    for k in range(1, n_splits + 1):
+        middle = dict.fromkeys(numeric, 0.0)
+        if gaps:
+            known = rows.where((F.col(SLICE) < k) & F.col(label).isNotNull())
+            middle |= {f: m for f, m in fit_medians(known, gaps, where=None).first().asDict().items() if m is not None}
+        medians.append(np.array([middle[f] for f in numeric]))
+        gram = products.filled(k, medians[-1])
+        fitted.append(solve(gram, spec))
+        sizes.append((k, round(gram[-2, -2])))
+    return fold_predictions(rows, numeric, label, fitted, medians, products.shift, keep), sizes
+
+
 def transfer(
     df: DataFrame,
     feature_list: DataFrame,

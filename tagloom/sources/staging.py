@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -27,12 +28,12 @@ def shared_folder(spark: SparkSession) -> str:
     return spark.sparkContext.getCheckpointDir()
 
 
-def stage(df: DataFrame) -> DataFrame:
-    """Write ``df`` once as Parquet in the shared folder and read it back.
+def stage(df: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    """Write ``df`` once as Parquet in the shared folder, in folders ``by`` some columns, and read it back.
 
     Fixes non-deterministic columns, cuts the lineage, and survives lost executors.
     """
     spark = df.sparkSession
     path = f"{shared_folder(spark).rstrip('/')}/tagloom-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    df.write.partitionBy(*by).parquet(path) if by else df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path).select(df.columns)
