@@ -4,8 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from tagloom.operators.columns import unpivot
-from tagloom.operators.ranks import FINISH_ROWS, order_statistics
+from tagloom.operators.medians import HELD_VALUES, medians as bracketed_medians
 
 MAX_MEDIAN_CELLS = 4_000_000  # rows times columns up to which one aggregate may hold all values
 TRAIN = "part = 'train'"
@@ -16,14 +15,14 @@ def fit_medians(
     cols: list[str],
     where: str | None = TRAIN,
     max_cells: int = MAX_MEDIAN_CELLS,
-    finish_rows: int = FINISH_ROWS,
+    finish_rows: int = HELD_VALUES,
 ) -> DataFrame:
     """One row with the exact median of every column over the rows ``where`` selects.
 
     ``where=None`` uses all rows, which leaks test data into training. Null, NaN and infinite
     values are left out; a column without values gets NULL. The built-in median keeps the
-    distinct values of a column in one buffer, so it is only used below ``max_cells``; above, the
-    middle ranks are found by counting.
+    distinct values of a column in one buffer, so it is only used below ``max_cells``; above, sketches
+    give brackets of the middle ranks, and passes that hold about ``finish_rows`` values in all narrow them.
     """
     rows = df if where is None else df.where(where)
     infinite = F.lit(float("inf"))
@@ -34,13 +33,7 @@ def fit_medians(
 
     if rows.count() * len(cols) <= max_cells:
         return rows.agg(*[F.median(finite(c)).alias(c) for c in cols])
-    long = unpivot(rows.select(*[finite(c).alias(c) for c in cols]), [], cols, "series", "v")
-    middle = order_statistics(
-        long.where(F.col("v").isNotNull()), lambda n: [(n + 1) // 2, n // 2 + 1], finish_rows
-    )
-    values = [
-        (middle[c][0][0] + middle[c][1][0]) / 2 if c in middle else None for c in cols
-    ]
+    values = bracketed_medians(rows, cols, finite, finish_rows)
     schema = ", ".join(f"`{c}` double" for c in cols)
     return df.sparkSession.createDataFrame([tuple(values)], schema)
 

@@ -3,6 +3,7 @@ import statistics
 
 import pytest
 from conftest import rows
+from pyspark.sql import functions as F
 from hypothesis import HealthCheck, given, settings, strategies as st
 
 from tagloom.operators import impute
@@ -56,3 +57,51 @@ def test_counted_median_is_exact(spark, n, seed):
     df = spark.createDataFrame([(i, v, "train") for i, v in enumerate(values)], "id int, a double, part string")
     got = impute.fit_medians(df, ["a"], max_cells=0, finish_rows=3).first()[0]
     assert got == pytest.approx(statistics.median(values), rel=1e-15)
+
+
+def test_bracketed_medians_of_many_columns(spark):
+    """Ties, gaps, signs, a heavy value at the middle, one and two values, and none; in two passes and in many."""
+    rnd, n = random.Random(4), 3000
+    make = [
+        lambda i: rnd.gauss(0, 1), lambda i: float(rnd.randrange(5)), lambda i: 7.0, lambda i: float(i % 2), lambda i: -1e300 * rnd.random(),
+        lambda i: None if i % 3 else rnd.random(), lambda i: 5.0 if rnd.random() < 0.4 else rnd.gauss(5, 1), lambda i: 1.5 if i == 9 else None,
+        lambda i: float(i) if i < 2 else None, lambda i: None, lambda i: 0.0 if i < n / 2 else 1.0, lambda i: float("inf") if i % 5 else -3.0 + i,
+    ]
+    cols = [f"c{k}" for k in range(len(make))]
+    data = [tuple(f(i) for f in make) for i in range(n)]
+    df = spark.createDataFrame(data, ", ".join(f"{c} double" for c in cols)).repartition(6).cache()
+    known = [[v for v in column if v is not None and abs(v) != float("inf")] for column in zip(*data)]
+    want = [statistics.median(v) if v else None for v in known]
+    for held in (10**6, 12 * 40, 1):
+        assert list(impute.fit_medians(df, cols, where=None, max_cells=0, finish_rows=held).first()) == want
+
+
+def test_bad_sketches_only_cost_passes(spark, monkeypatch):
+    """Brackets that miss the middle altogether: counts still find it."""
+    from tagloom.operators import medians
+
+    df = spark.range(501).selectExpr("cast((id * 7919) % 501 AS double) AS a", "cast(id % 3 AS double) AS b").cache()
+    narrow = medians._narrow
+
+    def misled(rows, searches, *rest):
+        for s in searches:
+            if s.low is None and s.high is None:
+                s.bracket = wrong
+        return narrow(rows, searches, *rest)
+
+    monkeypatch.setattr(medians, "_narrow", misled)
+    for wrong in ((-1.0, 0.5), (300.0, 400.0)):
+        for held in (1, 200):
+            assert list(impute.fit_medians(df, ["a", "b"], where=None, max_cells=0, finish_rows=held).first()) == [250.0, 1.0]
+
+
+def test_two_passes_over_a_wide_table(spark, monkeypatch):
+    from tagloom.operators import medians
+
+    passes, narrow = [], medians._narrow
+    monkeypatch.setattr(medians, "_narrow", lambda *a: passes.append(1) or narrow(*a))
+    cols = [f"v{k}" for k in range(80)]
+    df = spark.range(2000).select(*[((F.col("id") * (2 * k + 1)) % 1999 + k).cast("double").alias(c) for k, c in enumerate(cols)])
+    got = impute.fit_medians(df, cols, where=None, max_cells=0).first()
+    want = df.agg(*[F.median(c).alias(c) for c in cols]).first()
+    assert tuple(got) == tuple(want) and len(passes) == 1
