@@ -13,13 +13,16 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import DataFrame, Window, functions as F, types as T
 
 from tagloom.functions.timecols import MICROS_PER_HOUR, MICROS_PER_MINUTE, floor_div, order_key
 from tagloom.operators.ranks import MAX_GROUP_ROWS, largest_group
 
 STATS = ("mean", "min", "max", "std", "last", "delta")
 CHUNKS_PER_WINDOW = 240
+# Places a carrying window scans, and levels above the first. On the last one a place is 1,900 years of hours or
+# 8 years of quarter minutes, so all times a timestamp can hold are at most some 1,300 places there.
+CARRY_FAN, CARRY_LEVELS = 4096, 2
 MOMENTS = ("n", "mean", "m2", "lo", "hi", "first", "last")
 
 Bounds = tuple[str, int, int]  # name, minutes before the anchor: from (exclusive), to (inclusive)
@@ -334,6 +337,33 @@ def unpivot_window_features(wide: DataFrame, anchor_id: str = "anchor_id") -> Da
     )
 
 
+def _carried(newest: DataFrame, asked: DataFrame, keys: list[str], place: str, levels: int = CARRY_LEVELS) -> DataFrame:
+    """The ``hit`` of the last place of ``newest`` before every asked place: keys, place, hit.
+
+    Places lie in blocks of ``CARRY_FAN``. A window scans one block; what a block has not, the newest hits of the blocks
+    before it have, which are found in the same way one level up. So no window holds more places than a block has,
+    however long a series is. Places of the last level are few, whatever the times.
+    """
+    block = f"{place}_block"
+    newest = newest.withColumn(block, floor_div(F.col(place), CARRY_FAN))
+    asked = asked.withColumns({block: floor_div(F.col(place), CARRY_FAN), "ask": F.lit(1)})
+    group = [*keys, block] if levels else keys
+    earlier = Window.partitionBy(*group).orderBy(place).rangeBetween(Window.unboundedPreceding, -1)
+    near = (
+        newest.unionByName(asked, allowMissingColumns=True)
+        .withColumn("near", F.last("hit", True).over(earlier))
+        .where(F.col("ask") == 1)
+        .select(*keys, block, place, "near")
+    )
+    if not levels:
+        return near.select(*keys, place, F.col("near").alias("hit"))
+    blocks = newest.groupBy(*keys, block).agg(F.max("hit").alias("hit"))
+    # Only blocks that some place finds nothing in ask further.
+    open_blocks = near.where(F.col("near").isNull()).select(*keys, block).distinct()
+    far = _carried(blocks, open_blocks, keys, block, levels - 1)
+    return near.join(far, [*keys, block], "left").select(*keys, place, F.coalesce("near", "hit").alias("hit"))
+
+
 def asof_join(
     anchors: DataFrame,
     sensor: DataFrame,
@@ -351,8 +381,8 @@ def asof_join(
     """Most recent reading at or before every anchor, one row per anchor and tag.
 
     ``value`` and ``age_micros`` are null where there is none (within the tolerance) and for anchors
-    without a time. The tags are given, as the columns of a table would be. Only the newest reading of a chunk is carried on;
-    chunks are an hour, or 15 seconds when a counting pass finds an hour too big for one task.
+    without a time. The tags are given, as the columns of a table would be. Only the newest reading of a chunk is carried on,
+    block by block; chunks are an hour, or 15 seconds when a counting pass finds an hour too big for one task.
     """
     entity = list(entity)
     keys = [*entity, tag]
@@ -380,16 +410,7 @@ def asof_join(
         .where(F.col("ask") == 1)
         .select(*keys, "_chunk", "_x", "_in")
     )
-    earlier = Window.partitionBy(*keys).orderBy("_chunk")
-    earlier = earlier.rangeBetween(Window.unboundedPreceding, -1)
-    carried = (
-        by_chunk.unionByName(
-            asked.select(*keys, "_chunk", "ask").distinct(), allowMissingColumns=True
-        )
-        .withColumn("_out", F.last("hit", True).over(earlier))
-        .where(F.col("ask") == 1)
-        .select(*keys, "_chunk", "_out")
-    )
+    carried = _carried(by_chunk, asked.select(*keys, "_chunk").distinct(), keys, "_chunk").withColumnRenamed("hit", "_out")
     hit = F.coalesce("_in", "_out")
     if tolerance_minutes is not None:
         hit = F.when(hit["_x"] >= F.col("_x") - F.lit(tolerance_minutes * MICROS_PER_MINUTE), hit)
@@ -429,7 +450,8 @@ def range_join(
     hot = rows.groupBy(*buckets).count().where(F.col("count") > max_bucket_rows)
     hot = hot.select(*buckets, F.ceil(F.col("count") / max_bucket_rows).alias("_salts"))
     salts = F.coalesce("_salts", F.lit(1).cast("long"))
-    place = F.xxhash64(F.spark_partition_id(), F.monotonically_increasing_id())
+    # A row's salt follows from its own values, so a task that runs again deals it to the same place.
+    place = F.xxhash64(*[F.col(c) for c in sensor.columns if not isinstance(sensor.schema[c].dataType, (T.MapType, T.VariantType))])
     rows = rows.withColumn("_row", place).join(hot, buckets, "left")
     rows = rows.withColumn("_salt", F.pmod(F.col("_row"), salts)).drop("_salts", "_row")
     end = order_key(anchors, anchor_time) - F.lit(to_minutes * MICROS_PER_MINUTE)

@@ -138,3 +138,23 @@ def test_readings_outside_the_window_do_not_spoil_it(spark, odd, limit):
 def test_names_of_tags_with_underscores(spark):
     wide = spark.createDataFrame([(1, 2.0, 3.0)], "anchor_id long, w60__mean__a__b double, other__x double")
     assert [(r.tag, r.stat, r.value) for r in scans.unpivot_window_features(wide).collect()] == [("a__b", "mean", 2.0)]
+
+
+@pytest.mark.parametrize("fan,levels", [(2, 3), (3, 1), (4096, 2)])
+@pytest.mark.parametrize("tolerance,limit", [(None, 10**6), (None, 3), (60 * 24 * 400, 10**6)])
+def test_asof_over_years(spark, monkeypatch, fan, levels, tolerance, limit):
+    """Readings and anchors from year 1 to 9999, mostly far apart, some close: blocks of all levels are crossed."""
+    monkeypatch.setattr(scans, "CARRY_FAN", fan)
+    monkeypatch.setattr(scans._carried, "__defaults__", (levels,))
+    rnd = random.Random(6)
+    begin, near = datetime(1, 1, 2), datetime(2024, 1, 1)
+    moment = lambda: rnd.choice([begin + timedelta(days=rnd.randrange(3_650_000)), near + timedelta(minutes=rnd.randrange(4000))])
+    readings = [(rnd.choice("ab"), moment(), i, float(i)) for i in range(60)]
+    points = [(i, moment()) for i in range(60)] + [(60, datetime(9999, 12, 30))]
+    sensor = spark.createDataFrame(readings, "tag string, ts timestamp_ntz, row_id long, value double")
+    anchors = spark.createDataFrame(points, "anchor_id long, ts timestamp_ntz")
+    got = {(r.anchor_id, r.tag): r.value for r in scans.asof_join(anchors, sensor, ["a", "b"], tolerance, max_group_rows=limit).collect()}
+    for i, t in points:
+        for tag in "ab":
+            past = [(ts, k, v) for g, ts, k, v in readings if g == tag and ts <= t and (tolerance is None or t - ts <= timedelta(minutes=tolerance))]
+            assert got[i, tag] == (max(past)[2] if past else None)
