@@ -34,8 +34,12 @@ EXTRA = 8
 MOST_FREQUENT = 1_000_000
 FREQUENT = 16
 #: Followers of a leader in one block of the product.
-BLOCK = 10_000
-#: Buckets of a row's bit map, in bits.
+BLOCK = 5_000
+#: Followers verified against their leader in one group.
+FOLLOWERS = 2_000
+#: The most ids of a filter (40 MB); with more candidates every text is shuffled.
+MOST_IDS = 20_000_000
+#: The fewest buckets of a row's bit map.
 BUCKETS = 1024
 _M1, _M3 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0x165667B19E3779F9)
 
@@ -83,13 +87,56 @@ def _chunks(batches):
             yield ids[part], raw[part]
 
 
+def _widths(sizes: np.ndarray) -> np.ndarray:
+    """Buckets for sets of given sizes: a power of two, and two for each shingle, so that at most half are filled."""
+    return np.maximum(BUCKETS, 2 << np.ceil(np.log2(np.maximum(sizes, 1))).astype(np.int64))
+
+
 def _maps(sets: list[np.ndarray]) -> list[bytes]:
     """Which buckets of the shingles' hashes a set fills."""
-    out = np.zeros((len(sets), BUCKETS), bool)
-    for k, s in enumerate(sets):
-        out[k, (s >> np.uint64(13)) % np.uint64(BUCKETS)] = True
-    packed = np.packbits(out, axis=1)
-    return [row.tobytes() for row in packed]
+    widths, out = _widths(np.fromiter(map(len, sets), np.int64, len(sets))), []
+    for s, width in zip(sets, widths.tolist()):
+        bits = np.zeros(width, bool)
+        bits[(s >> np.uint64(13)) % np.uint64(width)] = True
+        out.append(np.packbits(bits).tobytes())
+    return out
+
+
+class BitMaps:
+    """The maps of rows sorted by size, so that rows of one width lie together."""
+
+    def __init__(self, maps: list[bytes]):
+        lengths = np.fromiter(map(len, maps), np.int64, len(maps))
+        self.first = np.flatnonzero(np.diff(lengths, prepend=0))
+        self.width = np.searchsorted(self.first, np.arange(len(maps)), side="right") - 1
+        ends = [*self.first[1:].tolist(), len(maps)]
+        self.held = {
+            (k, k): np.frombuffer(b"".join(maps[a:b]), np.uint64).reshape(b - a, -1) for k, (a, b) in enumerate(zip(self.first.tolist(), ends))
+        }
+
+    def of(self, wide: int, narrow: int) -> np.ndarray:
+        """The maps of one width, folded to a narrower one."""
+        if (wide, narrow) not in self.held:
+            words = self.held[narrow, narrow].shape[1]
+            maps = self.held[wide, wide]
+            self.held[wide, narrow] = np.bitwise_or.reduce(maps.reshape(len(maps), -1, words), axis=1)
+        return self.held[wide, narrow]
+
+    def apart(self, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """For pairs of rows a < b, how many buckets of one are empty in the other."""
+        only_a, only_b = np.empty(len(a), np.int64), np.empty(len(a), np.int64)
+        kinds = self.width[a] * len(self.first) + self.width[b]
+        for kind in np.unique(kinds).tolist():
+            narrow, wide = divmod(kind, len(self.first))
+            some = np.flatnonzero(kinds == kind)
+            left, right = self.of(narrow, narrow), self.of(wide, narrow)
+            step = max(1, 3_000_000 // left.shape[1])
+            for at in range(0, len(some), step):
+                part = some[at : at + step]
+                x, y = left[a[part] - self.first[narrow]], right[b[part] - self.first[wide]]
+                only_a[part] = np.bitwise_count(x & ~y).sum(1, dtype=np.int64)
+                only_b[part] = np.bitwise_count(y & ~x).sum(1, dtype=np.int64)
+        return only_a, only_b
 
 
 def _sizes(size: int):
@@ -169,7 +216,8 @@ def _cross_pairs(percent: int):
     def pairs_of(numbers, maps):
         side, cls, n, comp = numbers
         order = np.argsort(n, kind="stable")
-        side, cls, n, comp, maps = side[order], cls[order], n[order], comp[order], maps[order]
+        side, cls, n, comp = side[order], cls[order], n[order], comp[order]
+        maps = BitMaps([maps[k] for k in order.tolist()])
         within = (side == side[0]).all()
         top = np.searchsorted(n, 100 * n // percent, side="right")  # the rows that are not too large
         for at in range(0, len(n), 256):
@@ -183,20 +231,18 @@ def _cross_pairs(percent: int):
             for k in range(0, len(i), 200_000):
                 a, b = rows[i[k : k + 200_000]], at + j[k : k + 200_000]
                 least = -(-percent * (n[a] + n[b]) // (100 + percent))
-                most_a = n[a] - np.bitwise_count(maps[a] & ~maps[b]).sum(1, dtype=np.int64)
-                most_b = n[b] - np.bitwise_count(maps[b] & ~maps[a]).sum(1, dtype=np.int64)
-                left = np.flatnonzero(np.minimum(most_a, most_b) >= least)
+                only_a, only_b = maps.apart(a, b)
+                left = np.flatnonzero(np.minimum(n[a] - only_a, n[b] - only_b) >= least)
                 if len(left):
                     x, y = cls[a[left]], cls[b[left]]
                     yield batch(schema, x=np.minimum(x, y), y=np.maximum(x, y))
 
     def run(batches):
-        numbers, maps = np.zeros((7, 0), np.int64), np.zeros((0, BUCKETS // 64), np.uint64)
+        numbers, maps = np.zeros((7, 0), np.int64), []
         for b in batches:
             new = np.stack([np.asarray(c) for c in b.columns[:7]])
             numbers = np.concatenate([numbers, new], axis=1)
-            bits = np.frombuffer(b"".join(b.column(7).to_pylist()), np.uint64).reshape(-1, BUCKETS // 64)
-            maps = np.concatenate([maps, bits])
+            maps += b.column(7).to_pylist()
             cuts = [0, *(np.flatnonzero((np.diff(numbers[:3], axis=1) != 0).any(axis=0)) + 1).tolist()]
             for first, end in zip(cuts, cuts[1:]):
                 yield from pairs_of(numbers[3:, first:end], maps[first:end])
@@ -208,49 +254,97 @@ def _cross_pairs(percent: int):
 
 
 def _similar(size: int, percent: int):
+    """Links (a, b) from rows (x, block, y, packed) in this order: a leader's text (y null), then those of its followers."""
     schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
     def run(batches):
         shingler, unpack = Shingler(size), zstandard.ZstdDecompressor()
-        last: tuple = (None, None)
+        group, leader = None, None
+        for b in batches:
+            for at in range(0, b.num_rows, 50):
+                some = b.slice(at, 50)
+                raw = [unpack.decompress(z).decode("utf-8", "surrogatepass") for z in some.column(3).to_pylist()]
+                sets, found = [s for part in parts(raw) for s in shingler.many(raw[part])], []
+                for x, block, y, t in zip(*(some.column(k).to_pylist() for k in range(3)), sets):
+                    if y is None:
+                        group, leader = (x, block), t
+                    elif (x, block) != group:
+                        raise RuntimeError("a follower without its leader's text")
+                    else:
+                        both = len(np.intersect1d(leader, t, assume_unique=True))
+                        if 100 * both >= percent * (len(leader) + len(t) - both):
+                            found.append((x, y))
+                if found:
+                    yield batch(schema, a=[f[0] for f in found], b=[f[1] for f in found])
+
+    return run
+
+
+class IdFilter:
+    """A Bloom filter of ids in one array of 64-bit words: an id sets two bits."""
+
+    def __init__(self, words: int):
+        self.size, self.words = np.uint64(64 * words), np.zeros(words, np.uint64)
+
+    def places(self, ids: np.ndarray) -> np.ndarray:
+        first = mix(ids.astype(np.int64).view(np.uint64) + _M1)
+        return np.stack([first % self.size, mix(first + _M3) % self.size])
+
+    def holds(self, ids: np.ndarray) -> np.ndarray:
+        at = self.places(ids)
+        return (self.words[at >> np.uint64(6)] >> (at & np.uint64(63)) & np.uint64(1)).astype(bool).all(axis=0)
+
 
-        def text(packed: bytes) -> str:
-            return unpack.decompress(packed).decode("utf-8", "surrogatepass")
+def _bits(words: int):
+    """(word, bits) of the ids of a task, one row for each word of the filter that they touch in a batch."""
+    schema = pa.schema([("word", pa.int64()), ("bits", pa.int64())])
 
+    def run(batches):
         for b in batches:
-            xs, ys = b.column(0).to_pylist(), b.column(1).to_pylist()
-            found = []
-            for at in range(0, len(xs), 50):
-                right = [text(z) for z in b.column(3).slice(at, 50).to_pylist()]
-                sets = [s for part in parts(right) for s in shingler.many(right[part])]
-                for k, t in enumerate(sets, at):
-                    x, y = xs[k], ys[k]
-                    if last[0] != x:
-                        last = x, shingler.many([text(b.column(2)[k].as_py())])[0]
-                    s = last[1]
-                    both = len(np.intersect1d(s, t, assume_unique=True))
-                    if 100 * both >= percent * (len(s) + len(t) - both):
-                        found.append((x, y))
-            if found:
-                yield batch(schema, a=[f[0] for f in found], b=[f[1] for f in found])
+            at = IdFilter(words).places(np.asarray(b.column(0))).ravel()
+            word, which = np.unique(at >> np.uint64(6), return_inverse=True)
+            bits = np.zeros(len(word), np.uint64)
+            np.bitwise_or.at(bits, which, np.uint64(1) << (at & np.uint64(63)))
+            yield batch(schema, word=word.astype(np.int64), bits=bits.view(np.int64))
 
     return run
 
 
-def _packed(batches):
+def _filter_of(needed: DataFrame) -> IdFilter | None:
+    """The filter of at most ``MOST_IDS`` ids, 16 bits each; beyond that none, and every text is shuffled."""
+    n = needed.count()
+    if n > MOST_IDS:
+        return None
+    out = IdFilter(n // 4 + 1)
+    words = map_arrow(needed, lambda: _bits(len(out.words)), "word long, bits long")
+    words = words.groupBy("word").agg(F.bit_or("bits").alias("bits")).toArrow()
+    out.words[np.asarray(words["word"])] = np.asarray(words["bits"]).view(np.uint64)
+    return out
+
+
+def _packed(wanted):
+    """(packed_id, packed): the compressed texts whose ids the filter holds, or all."""
     schema = pa.schema([("packed_id", pa.int64()), ("packed", pa.binary())])
-    pack = zstandard.ZstdCompressor(level=1)
-    for b in batches:
-        for at in range(0, b.num_rows, 500):
-            raw = b.column(1).slice(at, 500).to_pylist()
-            packed = [pack.compress(t.encode("utf-8", "surrogatepass")) for t in raw]
-            yield batch(schema, packed_id=b.column(0).slice(at, 500), packed=packed)
+
+    def run(batches):
+        pack = zstandard.ZstdCompressor(level=1)
+        for b in batches:
+            b = b.filter(b.column(0).is_valid())
+            if wanted.value is not None and b.num_rows:
+                b = b.filter(pa.array(wanted.value.holds(np.asarray(b.column(0)))))
+            for at in range(0, b.num_rows, 500):
+                raw = b.column(1).slice(at, 500).to_pylist()
+                packed = [pack.compress(t.encode("utf-8", "surrogatepass")) for t in raw]
+                yield batch(schema, packed_id=b.column(0).slice(at, 500), packed=packed)
+
+    return run
 
 
 def _verified(pairs: DataFrame, classes: DataFrame, read: DataFrame, size: int, percent: int) -> DataFrame:
     """The pairs (x, y) of classes that are similar, as links (a, b).
 
-    Texts are joined by sorting at every size, so that what is shuffled grows as the input does.
+    A task only packs texts that some pair may need; those are shuffled once to their ids and then once for each pair
+    and each block of a leader, by (leader, block). Texts are joined by sorting at every size.
     """
     one = classes.select(F.col("class").alias("x"), F.col("rep").alias("rep_x"), F.col("n_shingles").alias("n_x"))
     two = classes.select(F.col("class").alias("y"), F.col("rep").alias("rep_y"), F.col("n_shingles").alias("n_y"))
@@ -261,13 +355,16 @@ def _verified(pairs: DataFrame, classes: DataFrame, read: DataFrame, size: int,
         .select("x", "y", "rep_x", "rep_y")
         .distinct()
     )
-    needed = open_pairs.select(F.col("rep_x").alias("packed_id")).unionAll(open_pairs.select("rep_y")).distinct()
-    packed = map_arrow(read, lambda: _packed, "packed_id long, packed binary")
-    packed = stage(packed.join(needed.hint("merge"), "packed_id", "left_semi"))
-    right = packed.select(F.col("packed_id").alias("rep_y"), F.col("packed").alias("right"))
-    left = packed.select(F.col("packed_id").alias("rep_x"), F.col("packed").alias("left"))
-    whole = open_pairs.join(right.hint("merge"), "rep_y").join(left.hint("merge"), "rep_x")
-    whole = whole.select("x", "y", "left", "right")
+    leaders = open_pairs.groupBy("x").agg(F.max("rep_x").alias("rep_x"), F.ceil(F.count("*") / FOLLOWERS).cast("long").alias("blocks"))
+    blocks = F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("block")
+    texts_of_leaders = leaders.select(F.col("rep_x").alias("packed_id"), "x", blocks, F.lit(None).cast("long").alias("y"))
+    dealt = open_pairs.join(leaders.select("x", "blocks"), "x")
+    dealt = dealt.select(F.col("rep_y").alias("packed_id"), "x", F.pmod(F.xxhash64("y"), F.col("blocks")).alias("block"), "y")
+    wanted = stage(texts_of_leaders.unionAll(dealt))
+    shared = read.sparkSession.sparkContext.broadcast(_filter_of(wanted.select("packed_id").distinct()))
+    packed = map_arrow(read, lambda: _packed(shared), "packed_id long, packed binary").dropDuplicates(["packed_id"])
+    whole = wanted.hint("merge").join(packed, "packed_id").select("x", "block", "y", "packed")
+    whole = whole.repartition("x", "block").sortWithinPartitions("x", "block", F.col("y").asc_nulls_first())
     return stage(map_arrow(whole, lambda: _similar(size, percent), "a long, b long").distinct())
 
 
@@ -279,11 +376,11 @@ def jaccard_groups(
     Two documents link when ``100 * intersection >= percent * union`` of their sets of ``size``-word
     shingles (A-Z lower-cased; the whole sequence if shorter). Shingles and sets are compared by 64-bit
     hashes in the candidate search, texts decide. Null and empty texts link with nothing; equal texts
-    are one class; rows that share an id must share the text; null ids keep a null component; an
+    are one class; rows that share an id must share the text (one of them is verified); null ids keep a null component; an
     empty table gives no rows. Other columns are not read.
 
-    Shuffled: prefixes (100 - percent of each set) twice, the packed texts of candidates, and small
-    tables by class. The frequent columns sent to the tasks are at most ``MOST_FREQUENT``. However many
+    Shuffled: prefixes (100 - percent of each set) twice, the packed texts of candidates (others are left out
+    where they are read, by a Bloom filter of the ids), and small tables by class. The frequent columns sent to the tasks are at most ``MOST_FREQUENT``. However many
     followers a leader has, they are multiplied in blocks of ``BLOCK``.
     """
     with conf(docs.sparkSession, spark__sql__execution__arrow__maxBytesPerBatch="8m"):  # of the jobs run here

@@ -1,5 +1,6 @@
 import random
 
+import numpy as np
 import pytest
 
 from tagloom.llm import jaccard_join
@@ -84,3 +85,38 @@ def test_edges(spark):
     assert jaccard_groups(df.limit(0)).collect() == []
     null = spark.createDataFrame([(None, "a b c d e"), (3, "a b c d e")], "doc_id long, text string")
     assert {r.doc_id: r.component_id for r in jaccard_groups(null).collect()} == {None: None, 3: 3}
+
+
+@pytest.mark.parametrize("followers,most_ids", [(3, 20_000_000), (1, 0)])
+def test_blocks_of_followers_and_filters(spark, monkeypatch, followers, most_ids):
+    monkeypatch.setattr(jaccard_join, "FOLLOWERS", followers)
+    monkeypatch.setattr(jaccard_join, "MOST_IDS", most_ids)
+    rows = edited(random.Random(9), 8, 12)
+    repeated = rows + rows[:30]
+    assert columns(jaccard_groups(spark.createDataFrame(repeated, "doc_id long, text string"))) == sorted(
+        r for r in by_hand(rows) for _ in range(2 if r[0] < 30 else 1)
+    )
+
+
+def test_filter_holds_its_ids(spark):
+    ids = [(k * 7919 - 3_000_000,) for k in range(5000)]
+    made = jaccard_join._filter_of(spark.createDataFrame(ids, "id long"))
+    assert made.holds(np.array(ids, np.int64).ravel()).all()
+    others = np.arange(10**12, 10**12 + 20_000)
+    assert made.holds(others).mean() < 0.05
+    empty = jaccard_join._filter_of(spark.createDataFrame([], "id long"))
+    assert not empty.holds(others).any()
+
+
+def test_maps_of_different_widths():
+    """What the maps keep apart is never more than what the sets do, and large sets are told apart."""
+    rng = np.random.default_rng(4)
+    sets = [np.unique(rng.integers(0, 2**63, n).astype(np.uint64)) for n in (1, 300, 500, 513, 700, 1100, 2047, 2049, 9000)]
+    sets[3] = np.unique(np.concatenate([sets[2], sets[3][:13]]))
+    maps = jaccard_join.BitMaps(jaccard_join._maps(sets))
+    a, b = np.triu_indices(len(sets), 1)
+    only_a, only_b = maps.apart(a, b)
+    for x, y, n, m in zip(a, b, only_a, only_b):
+        assert n <= len(np.setdiff1d(sets[x], sets[y])) and m <= len(np.setdiff1d(sets[y], sets[x]))
+    pair = (a == 7) & (b == 8)
+    assert only_b[pair] > 2000 and only_b[(a == 2) & (b == 3)] <= 13
