@@ -337,7 +337,7 @@ def unpivot_window_features(wide: DataFrame, anchor_id: str = "anchor_id") -> Da
     )
 
 
-def _carried(newest: DataFrame, asked: DataFrame, keys: list[str], place: str, levels: int = CARRY_LEVELS) -> DataFrame:
+def carried_hits(newest: DataFrame, asked: DataFrame, keys: list[str], place: str, levels: int = CARRY_LEVELS) -> DataFrame:
     """The ``hit`` of the last place of ``newest`` before every asked place: keys, place, hit.
 
     Places lie in blocks of ``CARRY_FAN``. A window scans one block; what a block has not, the newest hits of the blocks
@@ -360,7 +360,7 @@ def _carried(newest: DataFrame, asked: DataFrame, keys: list[str], place: str, l
     blocks = newest.groupBy(*keys, block).agg(F.max("hit").alias("hit"))
     # Only blocks that some place finds nothing in ask further.
     open_blocks = near.where(F.col("near").isNull()).select(*keys, block).distinct()
-    far = _carried(blocks, open_blocks, keys, block, levels - 1)
+    far = carried_hits(blocks, open_blocks, keys, block, levels - 1)
     return near.join(far, [*keys, block], "left").select(*keys, place, F.coalesce("near", "hit").alias("hit"))
 
 
@@ -410,7 +410,7 @@ def asof_join(
         .where(F.col("ask") == 1)
         .select(*keys, "_chunk", "_x", "_in")
     )
-    carried = _carried(by_chunk, asked.select(*keys, "_chunk").distinct(), keys, "_chunk").withColumnRenamed("hit", "_out")
+    carried = carried_hits(by_chunk, asked.select(*keys, "_chunk").distinct(), keys, "_chunk").withColumnRenamed("hit", "_out")
     hit = F.coalesce("_in", "_out")
     if tolerance_minutes is not None:
         hit = F.when(hit["_x"] >= F.col("_x") - F.lit(tolerance_minutes * MICROS_PER_MINUTE), hit)

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
-from tagloom.functions.timecols import order_key, time_bucket
+from tagloom.functions.timecols import MICROS_PER_MINUTE, floor_div, ntz_from_micros, order_key, time_bucket
 from tagloom.operators.columns import exclude_columns
 from tagloom.operators.ranks import MAX_GROUP_ROWS, over_series
+from tagloom.operators.scans import carried_hits
+
+GRID_BLOCK = 1024  # steps of a group that are laid out and scanned together
 
 # The six signals that get temporal features, their lags and rolling widths.
 TEMPORAL_SIGNALS = (
@@ -158,11 +161,60 @@ def resample(
     return df.groupBy(*group, step).agg(*[known[s].alias(s) for s in stats])
 
 
+def resample_filled(
+    df: DataFrame,
+    time_col: str,
+    value: str,
+    step_minutes: int = 6,
+    group: list[str] = (),
+    row_id: str | None = None,
+    stats: tuple[str, ...] = RESAMPLE_STATS,
+    carry: tuple[str, ...] = ("last",),
+) -> DataFrame:
+    """``resample`` with the empty steps between a group's first and last one, so that a lag by rows is a lag by time.
+
+    Empty steps have ``empty`` set and null statistics; those named in ``carry`` take the last known value of the
+    steps before, however far back. A group is laid out in blocks of ``GRID_BLOCK`` steps: a row per block is made
+    first and the block's steps from it, a window carries values inside a block only, and blocks pass on one value each,
+    so neither a long gap nor a long series lands in one task. Rows without a time are a step of their own (null), as they are
+    in ``resample``; a null group is a group.
+    """
+    width = step_minutes * MICROS_PER_MINUTE
+    rows = resample(df, time_col, value, step_minutes, group, row_id, stats)
+    # Groups by texts that tell null apart, as joins do not match nulls.
+    named = [F.when(F.col(g).isNull(), "-").otherwise(F.concat(F.lit("+"), F.col(g).cast("string"))) for g in group]
+    key = (F.to_json(F.array(*named)) if named else F.lit("")).alias("_g")
+    known = rows.select("*", key, floor_div(order_key(rows, "step"), width).alias("_k"))
+    ends = known.where("_k IS NOT NULL").groupBy(*group, "_g").agg(F.min("_k").alias("_first"), F.max("_k").alias("_last"))
+    blocks = ends.withColumn("_b", F.explode(F.sequence(floor_div(F.col("_first"), GRID_BLOCK), floor_div(F.col("_last"), GRID_BLOCK))))
+    start = F.col("_b") * F.lit(GRID_BLOCK)
+    inside = F.sequence(F.greatest("_first", start), F.least("_last", start + F.lit(GRID_BLOCK - 1)))
+    grid = blocks.withColumn("_k", F.explode(inside)).select(*group, "_g", "_k")
+    filled = grid.unionByName(known.withColumn("_some", F.lit(True)), allowMissingColumns=True)
+    # One row of each step at most has statistics, so their maximum is that row's value.
+    filled = filled.groupBy("_g", "_k").agg(
+        *[F.first(g, ignorenulls=True).alias(g) for g in group], *[F.max(s).alias(s) for s in stats], F.max("_some").isNull().alias("empty")
+    )
+    filled = filled.withColumn("_b", floor_div(F.col("_k"), GRID_BLOCK))
+    names = [c for c in carry if c in stats]
+    so_far = Window.partitionBy("_g", "_b").orderBy("_k").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    filled = filled.withColumns({f"_{c}": F.last(c, ignorenulls=True).over(so_far) for c in names})
+    for c in names:
+        hit = F.struct("_k", F.col(c).alias("_v"))
+        newest = filled.where(F.col(c).isNotNull() & F.col("_b").isNotNull()).groupBy("_g", "_b").agg(F.max(hit).alias("hit"))
+        asked = filled.where(F.col(f"_{c}").isNull() & F.col("_b").isNotNull()).select("_g", "_b").distinct()
+        before = carried_hits(newest, asked, ["_g"], "_b").select("_g", "_b", F.col("hit._v").alias(f"_far_{c}"))
+        filled = filled.join(before, ["_g", "_b"], "left").withColumn(c, F.coalesce(f"_{c}", f"_far_{c}"))
+    step = ntz_from_micros(F.col("_k") * F.lit(width)).alias("step")
+    return filled.select(*group, step, *stats, "empty")
+
+
 __all__ = [
     "MAX_GROUP_ROWS",
     "add_horizon_label",
     "add_lags",
     "add_rolling_mean",
     "resample",
+    "resample_filled",
     "temporal_features",
 ]

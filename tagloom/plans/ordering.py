@@ -230,3 +230,18 @@ def horizon_label(spark, d):
 def resample_6min(spark, d):
     rows = series.resample(table(spark, d, "events"), "ts", "value", 6, ["event_type"], "event_id")
     return rounded(rows, "mean", "std")
+
+
+@query(
+    "resample_6min_filled",
+    """WITH steps AS (SELECT event_type, time_bucket(INTERVAL '6 minutes', ts) AS step, round(avg(value) + 1e-9, 6) AS mean,
+         min(value) AS min, max(value) AS max, arg_max(value, (ts, event_id)) AS last FROM events GROUP BY ALL),
+       ends AS (SELECT event_type, min(step) AS a, max(step) AS b FROM steps GROUP BY event_type),
+       grid AS (SELECT event_type, unnest(generate_series(a, b, INTERVAL '6 minutes')) AS step FROM ends)
+       SELECT event_type, step, mean, min, max, last_value(last IGNORE NULLS) OVER (PARTITION BY event_type ORDER BY step) AS last,
+         s.max IS NULL AS empty FROM grid LEFT JOIN steps s USING (event_type, step)""",
+)
+def resample_6min_filled(spark, d):
+    stats = ("mean", "min", "max", "last")
+    rows = series.resample_filled(table(spark, d, "events"), "ts", "value", 6, ["event_type"], "event_id", stats)
+    return rounded(rows, "mean")

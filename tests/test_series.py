@@ -67,3 +67,30 @@ def test_resample(spark):
     assert [(r.step, r["mean"], r["last"]) for r in got] == [(START, 2.0, 3.0), (START + timedelta(minutes=6), 7.0, 7.0)]
     only = series.resample(df, "ts", "v", 6, stats=("max",))
     assert only.columns == ["step", "max"]
+
+
+@pytest.mark.parametrize("block,fan", [(1024, 4096), (3, 2)])
+def test_resample_filled(spark, monkeypatch, block, fan):
+    """Long gaps, a null group, a step whose values are all null, a row without a time, and a single step."""
+    monkeypatch.setattr(series, "GRID_BLOCK", block)
+    monkeypatch.setattr("tagloom.operators.scans.CARRY_FAN", fan)
+    at = [("a", 0, 1.0), ("a", 6, None), ("a", 240, 5.0), ("a", 247, 6.0), (None, 12, 2.0), (None, 90, 3.0), ("b", 3, 9.0), ("c", 0, None), ("c", 18, 4.0)]
+    data = [(i, g, START + timedelta(minutes=m), v) for i, (g, m, v) in enumerate(at)] + [(99, "b", None, 7.0)]
+    df = spark.createDataFrame(data, "id long, g string, ts timestamp_ntz, v double")
+    got = series.resample_filled(df, "ts", "v", 6, ["g"], "id", stats=("mean", "last")).collect()
+    by = {(r.g, r.step): r for r in got}
+    assert len(by) == len(got) == 42 + 14 + 1 + 4 + 1
+    for g, first, last in (("a", 0, 41), (None, 2, 15), ("b", 0, 0), ("c", 0, 3)):
+        carried, known = None, {}
+        for i, h, t, v in data:
+            if h == g and t is not None:
+                known.setdefault((t - START) // timedelta(minutes=6), []).append(v)
+        for k in range(first, last + 1):
+            r, some = by[g, START + timedelta(minutes=6 * k)], [v for v in known.get(k, []) if v is not None]
+            carried = some[-1] if some else carried
+            assert (r.empty, r["last"]) == (k not in known, carried)
+            assert r["mean"] == (sum(some) / len(some) if some else None)
+    assert by["b", None]["mean"] == 7.0 and not by["b", None].empty
+    assert series.resample_filled(df.limit(0), "ts", "v", 6, ["g"]).collect() == []
+    alone = series.resample_filled(df.where("g = 'a'"), "ts", "v", 6, row_id="id")
+    assert alone.count() == 42 and alone.where("NOT empty").count() == 4

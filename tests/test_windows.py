@@ -145,7 +145,7 @@ def test_names_of_tags_with_underscores(spark):
 def test_asof_over_years(spark, monkeypatch, fan, levels, tolerance, limit):
     """Readings and anchors from year 1 to 9999, mostly far apart, some close: blocks of all levels are crossed."""
     monkeypatch.setattr(scans, "CARRY_FAN", fan)
-    monkeypatch.setattr(scans._carried, "__defaults__", (levels,))
+    monkeypatch.setattr(scans.carried_hits, "__defaults__", (levels,))
     rnd = random.Random(6)
     begin, near = datetime(1, 1, 2), datetime(2024, 1, 1)
     moment = lambda: rnd.choice([begin + timedelta(days=rnd.randrange(3_650_000)), near + timedelta(minutes=rnd.randrange(4000))])
