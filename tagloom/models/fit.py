@@ -12,7 +12,7 @@ from pyspark import inheritable_thread_target
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.linalg import DenseVector, Vectors
 from pyspark.ml.regression import GBTRegressor, LinearRegression, RandomForestRegressor
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from tagloom.models.boosting import fit_boosted
 from tagloom.models.specs import SEED, UNLIMITED_DEPTH, Spec
@@ -32,6 +32,14 @@ class NaiveMean:
     def transform(self, df: DataFrame) -> DataFrame:
         return df.withColumn("prediction", F.lit(self.mean).cast("double"))
 
+    def save(self, path: str) -> None:
+        spark = SparkSession.active()
+        spark.createDataFrame([(self.mean,)], "mean double").write.mode("overwrite").parquet(path)
+
+    @classmethod
+    def load(cls, path: str) -> NaiveMean:
+        return cls(SparkSession.active().read.parquet(path).first()[0])
+
 
 def assemble(
     df: DataFrame, features: Sequence[str], label: str, order: Sequence[str] = ()

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from tagloom.models import experiments as ex
 from tagloom.models.boosting import tree_columns
-from tagloom.models.fit import assemble, fit_model, naive_mean, persistence, predict
+from tagloom.models.fit import NaiveMean, assemble, fit_model, naive_mean, persistence, predict
 from tagloom.models.specs import SPECS, Spec
 from tagloom.operators.metrics import regression_metrics
 from tagloom.operators.order import cutoff_split, expanding_folds, time_split
@@ -15,7 +17,8 @@ from tagloom.plans import inputs as src
 from tagloom.plans.inputs import EVENT_ORDER, table
 from tagloom.plans.ordering import DAILY_SIGNALS, FOLDS_SQL, event_folds
 from tagloom.plans.registry import query, r6, rounded
-from tagloom.sources.staging import stage
+from tagloom.sources import sinks
+from tagloom.sources.staging import shared_folder, stage
 from tagloom.sources.tables import ordered_distinct
 
 LABEL = "total_cents"
@@ -240,6 +243,21 @@ def stump_fit(spark, d):
     return rounded(sides, "mean_low", "mean_high")
 
 
+@query(
+    "model_read_back",
+    f"""WITH {DAYS_SQL} SELECT run, day, y_true, round(y_pred + 1e-9, 6) AS y_pred FROM (
+        {" UNION ALL ".join(f"SELECT '{k}' AS run, day, y_true, y_pred FROM ({_line_sql('n_orders', 'total', k, 'days')})" for k in ("ridge", "naive_mean"))})""",
+)
+def model_read_back(spark, d):
+    """Models saved, loaded into fresh objects, and used on the test rows."""
+    data = stage(ex.prepare(_split(spark, d), ["n_orders"], LABEL, ["day"]))
+    folder, found = f"{shared_folder(spark).rstrip('/')}/models-{uuid.uuid4().hex}", []
+    for name, load in (("ridge", sinks.load_model), ("naive_mean", NaiveMean.load)):
+        path = sinks.save_model(fit_model(data.where("part = 'train'"), SPECS[name]), folder, "days", name)
+        found.append(predict(load(path), data.where("part = 'test'"), ["day"]).withColumn("run", F.lit(name)))
+    return rounded(found[0].unionByName(found[1]), "y_pred")
+
+
 STUMPS = Spec("stumps", "boosted_trees", {"trees": 2, "depth": 1, "rate": 0.5, "rows": 0.9, "columns": 0.7})
 FEW = ["l_linenumber", "tax", "discount"]
 

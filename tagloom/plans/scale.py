@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from tagloom.operators import columns, impute, order, scans, series
 from tagloom.operators.clean import require_min_rows
+from tagloom.operators.metrics import fold_summary
 from tagloom.operators.metrics import test_series as indexed_series
 from tagloom.plans import inputs as src
 from tagloom.plans.evaluation import IDS, MEDIANS_SQL, NUMBERS
@@ -192,3 +193,19 @@ def predictions_read_back(spark, d):
     path = _folder(spark)
     sinks.write_predictions(src.predictions(spark, d).select(*src.LINE_IDS, "model", "y_true", "y_pred"), path)
     return rounded(spark.read.parquet(path), "y_pred")
+
+
+@query(
+    "run_info_read_back",
+    f"""WITH {src.PREDICTIONS_SQL}, folds AS (SELECT * FROM {src.metrics_sql('fold')})
+        SELECT 'flat_and_retail' AS experiment_name, 7 AS n_splits, folds.*, round((SELECT avg(mae) FROM folds) + 1e-9, 6) AS mae_mean FROM folds""",
+)
+def run_info_read_back(spark, d):
+    """A run document written as JSON and read back: its settings, its folds and a summary value."""
+    folds = src.metrics(spark, d, "fold")
+    info = sinks.run_info(folds, {"experiment_name": "flat_and_retail", "n_splits": 7}, fold_summary(folds))
+    path = _folder(spark)
+    sinks.write_run_info(info, path)
+    read = spark.read.schema(info.schema).json(path)
+    flat = read.select("experiment_name", "n_splits", F.inline("folds"), F.col("summary.mae_mean").alias("mae_mean"))
+    return rounded(flat, "mae_mean")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.ml import PipelineModel
+from pyspark.ml import PipelineModel, Transformer
 from pyspark.sql import Column, DataFrame, functions as F
 
 
@@ -30,9 +30,15 @@ def write_predictions(
 
 
 def save_model(model, path: str, tag: str, name: str) -> str:
-    """Save one fitted model per configuration under ``path/tag_name``."""
+    """Save one fitted model per configuration under ``path/tag_name``.
+
+    Spark ML's models become a pipeline, which ``load_model`` reads; others save themselves and are read by their class.
+    """
     target = f"{path.rstrip('/')}/{tag}_{name}"
-    PipelineModel([model]).write().overwrite().save(target)
+    if isinstance(model, Transformer):
+        PipelineModel([model]).write().overwrite().save(target)
+    else:
+        model.save(target)
     return target
 
 

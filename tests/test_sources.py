@@ -5,7 +5,7 @@ import pytest
 from conftest import rows
 from pyspark.sql import functions as F
 
-from tagloom.models.fit import assemble, fit_model, predict
+from tagloom.models.fit import NaiveMean, assemble, fit_model, predict
 from tagloom.models.specs import SPECS
 from tagloom.operators.metrics import fold_summary, union_all
 from tagloom.sources import sinks, staging, tables
@@ -58,6 +58,14 @@ def test_model_round_trip(spark, tmp_path):
     assert rows(predict(again, train)) == rows(predict(model, train))
 
 
+def test_mean_round_trip(spark, tmp_path):
+    df = spark.createDataFrame([(1.0, 2.0), (2.0, 4.0)], "x double, y double")
+    train = assemble(df, ["x"], "y")
+    for rows_, mean in ((train, 3.0), (train.limit(0), None)):
+        path = sinks.save_model(fit_model(rows_, SPECS["naive_mean"]), str(tmp_path), "tag", "mean")
+        assert NaiveMean.load(path).mean == mean
+
+
 def test_run_info(spark, tmp_path):
     folds = spark.createDataFrame(
         [("fold_2", 1.0, 2.0, 0.5), ("fold_1", 2.0, 3.0, 0.25)], "fold string, mae double, rmse double, r2 double"
