@@ -89,9 +89,9 @@ def beside_a_hot_group(bands, dim=64, pairs=150, hot=1500, others=2700):
 
 @pytest.mark.parametrize("threshold,bands", [(0.9, [(0.9, 0.91), (0.91, 0.95), (0.95, 1)]), (0.98, [(0.98, 0.982), (0.982, 0.99), (0.99, 1)])])
 def test_recall_of_bands_beside_a_hot_group(spark, monkeypatch, threshold, bands):
-    monkeypatch.setattr(embedding_links, "CROWD", 200)  # at 0.98 the windows are narrow enough to be searched
+    monkeypatch.setattr(embedding_links, "CROWD", 50)  # so that a table of this size is cut into cells
     x, found = beside_a_hot_group(bands)
-    assert (embedding_links.calibrate(len(x), 64, threshold).searched > 0) == (threshold > 0.9)
+    assert embedding_links.calibrate(len(x), 64, threshold).groups > 1
     df = spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(x)], "vec_id long, embedding array<double>")
     got = columns(link_embeddings(df, threshold))
     for low, links in found.items():
@@ -107,3 +107,54 @@ def test_calibration_passes_links_at_the_threshold():
         at = np.abs(off @ plan.directions.T)
         assert ((at[:, :24] <= plan.window).sum(1) >= plan.least).mean() >= 0.9995
         assert (at[:, 24:] <= plan.reach).all(1).mean() >= 0.9995
+
+
+@pytest.mark.parametrize("dim", [2, 16, 64, 768])
+@pytest.mark.parametrize("threshold", [0.9, 0.98])
+def test_links_at_the_threshold_meet_and_few_others(dim, threshold):
+    rng = np.random.default_rng(3)
+    unit = lambda v: v / np.linalg.norm(v, axis=1)[:, None]
+    a, other = unit(rng.normal(size=(3000, dim))), unit(rng.normal(size=(3000, dim)))
+    off = unit(other - (other * a).sum(1)[:, None] * a)
+    b = threshold * a + np.sqrt(1 - threshold**2) * off
+    plan = embedding_links.calibrate(50_000, dim, threshold)
+    assert plan.groups > 1
+
+    def marks(x):
+        place = np.floor((x @ plan.cuts.T + plan.starts) / plan.width).astype(np.int64)
+        return place.reshape(len(x), plan.groups, plan.each)
+
+    shared = lambda x, y: (marks(x) == marks(y)).all(axis=2)
+    assert shared(a, b).any(axis=1).mean() >= 0.98
+    if dim >= 16:  # pairs that a group counts, summed over groups, before the sorted window
+        assert shared(a, other).sum(axis=1).mean() < (0.18 if threshold == 0.9 else 0.05)
+
+
+def test_windows_of_the_sorted_projection_lose_no_pair():
+    rng = np.random.default_rng(8)
+    x = rng.normal(size=(700, 16))
+    x[350:] = x[:350] + rng.normal(size=(350, 16)) * 0.08
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    plan = embedding_links.calibrate(len(x), 16, 0.9)
+    at = x @ plan.directions.T
+    bins = np.floor(at[:, :24].T * ((embedding_links.STEPS - 1) / plan.window)).astype(np.int64).astype(np.uint8)
+    every, half = np.arange(700), np.arange(350)
+    near = np.triu(x @ x.T >= 0.9, 1)
+    for sides, want in (((every, None), near), ((half, half + 350), near[:350, 350:])):
+        found = [(min(i, j), max(i, j)) for a, b in embedding_links._counted(plan, bins, at[:, 24], *sides) for i, j in zip(a, b)]
+        assert len(found) == len(set(found))
+        linked = {(i, j) for i, j in found if near[i, j]}
+        assert len(linked) >= 0.999 * want.sum() > 300
+
+
+@pytest.mark.parametrize("kind", ["float", "double"])
+def test_a_pair_that_meets_in_many_cells_counts_once(spark, monkeypatch, kind):
+    monkeypatch.setattr(embedding_links, "CROWD", 5)
+    monkeypatch.setattr(embedding_links, "BLOCK", 100)  # crowded cells are dealt out in several blocks
+    rng = np.random.default_rng(4)
+    x = np.concatenate([rng.normal(size=(1, 32)) + rng.normal(size=(400, 32)) * 0.05, rng.normal(size=(800, 32))]).astype(np.float32)
+    assert embedding_links.calibrate(len(x), 32, 0.9).groups > 3
+    df = spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(x)], f"vec_id long, embedding array<{kind}>")
+    want, got = by_hand(range(len(x)), x.astype(np.float64)), columns(link_embeddings(df))
+    assert all(got[k] == want[k] for k in range(400)) and want[0][0] == 399
+    assert all(got[k][0] <= want[k][0] for k in want)
