@@ -83,14 +83,18 @@ def _vectors(batches):
     """(vec_id, key, raw, dim): components as they are, and a digest of the unit vector; null for vectors that link with nothing."""
     schema = pa.schema([("vec_id", pa.int64()), ("key", pa.binary()), ("raw", pa.binary()), ("dim", pa.int64())])
     for b in batches:
-        kind, out = np.float32 if pa.types.is_float32(b.column(1).type.value_type) else np.float64, []
-        for x in b.column(1).to_pylist():
-            v = np.array([np.nan if c is None else c for c in x], kind) if x else np.zeros(0)
-            if not len(v) or not np.isfinite(v).all() or not v.any():
-                out.append((None, None, None))
-                continue
-            unit = _units(v.astype(np.float64)[None])
-            out.append((hashlib.blake2b(unit.tobytes(), digest_size=16).digest(), v.tobytes(), len(v)))
+        column = b.column(1)
+        kind = np.float32 if pa.types.is_float32(column.type.value_type) else np.float64
+        flat = column.flatten().to_numpy(zero_copy_only=False).astype(kind)  # a null component is NaN here
+        sizes = column.value_lengths().fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
+        first, out = np.cumsum(sizes) - sizes, [(None, None, None)] * len(sizes)
+        for dim in np.unique(sizes[sizes > 0]).tolist():
+            rows = np.flatnonzero(sizes == dim)
+            x = flat[first[rows][:, None] + np.arange(dim)]
+            good = np.isfinite(x).all(axis=1) & x.any(axis=1)
+            x, rows = x[good], rows[good]
+            for row, raw, unit in zip(rows.tolist(), x, _units(x.astype(np.float64)) if len(x) else x):
+                out[row] = hashlib.blake2b(unit.tobytes(), digest_size=16).digest(), raw.tobytes(), dim
         yield batch(schema, vec_id=b.column(0), **{name: [o[k] for o in out] for k, name in enumerate(("key", "raw", "dim"))})
 
 
