@@ -186,13 +186,14 @@ class ToxicityModel:
 
 
 def learn_lexicon(
-    toxic: list[str], clean: list[str], least_docs: int = 6, log_odds: float = 3.0, most: int = 300, inflected: bool = False
+    toxic: list[str], clean: list[str], least_docs: int = 6, log_odds: float = 3.0, most: int | None = None, inflected: bool = False
 ) -> list[str]:
     """Words and stems (4 to 8 letters, marked ``*``) far more frequent in toxic texts.
 
     Of a stem and its extensions that stand for nearly the same texts, the longest is taken, a
     whole word before a stem. A stem covers its other extensions; with ``inflected`` not the whole words that allow
-    more edits than it, whose misspelled forms only they accept. Of more than ``most`` those of the greatest log odds stay.
+    more edits than it, whose misspelled forms only they accept. Every such term is taken, unless a caller asks for the
+    ``most`` of the greatest log odds.
     """
 
     def seen(sample):
@@ -217,14 +218,16 @@ def learn_lexicon(
         covered = any(x.endswith("*") and word.startswith(x[:-1]) and (not edits or edits <= allowed_edits(x)) for x in taken)
         if not longer and not covered:
             taken.append(e)
-    return sorted(taken, key=lambda e: -odds(e))[:most] if len(taken) > most else taken
+    return sorted(taken, key=lambda e: -odds(e))[:most] if most is not None and len(taken) > most else taken
 
 
 def fit(
     docs: DataFrame, labels: DataFrame, training: Column, per_class: tuple[int, int] = (4000, 2000), max_chars: int = 50_000,
-    most: int = 300,
+    most: int | None = None,
 ) -> ToxicityModel:
-    """Fits on a bounded sample: at most ``per_class`` whole texts of label 0 and 1, and ``most`` entries of the lexicon.
+    """Fits on a bounded sample: at most ``per_class`` whole texts of label 0 and 1.
+
+    The lexicon has every term that the sample teaches, so the sample bounds it, unless ``most`` asks for fewer.
 
     Half of each class gives the lexicon, the other half the weights. The weights are set back to the
     shares of the classes among all training labels. Without texts of both classes
