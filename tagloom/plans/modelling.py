@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 
 from tagloom.models import experiments as ex
 from tagloom.models.boosting import tree_columns
-from tagloom.models.fit import NaiveMean, assemble, fit_model, naive_mean, persistence, predict
+from tagloom.models.fit import NaiveMean, assemble, fit_model, importance, naive_mean, persistence, predict
+from tagloom.models.runs import run_grid_logged
 from tagloom.models.specs import SPECS, Spec
 from tagloom.operators.metrics import regression_metrics
 from tagloom.operators.order import cutoff_split, expanding_folds, time_split
@@ -16,7 +17,7 @@ from tagloom.operators.series import temporal_features
 from tagloom.plans import inputs as src
 from tagloom.plans.inputs import EVENT_ORDER, table
 from tagloom.plans.ordering import DAILY_SIGNALS, FOLDS_SQL, event_folds
-from tagloom.plans.registry import query, r6, rounded
+from tagloom.plans.registry import ORACLES, query, r6, rounded
 from tagloom.sources import sinks
 from tagloom.sources.staging import shared_folder, stage
 from tagloom.sources.tables import ordered_distinct
@@ -100,6 +101,16 @@ def run_grid_linear(spark, d):
     return rounded(grid, *ROUNDED).select("run", "n", *ROUNDED)
 
 
+@query("run_grid_resumed", f"SELECT *, run <> 'naive_mean' AS reused FROM ({ORACLES['run_grid_linear']})")
+def run_grid_resumed(spark, d):
+    """A grid of two configurations, then one of three that takes those two from the table of finished runs."""
+    rows, folder = _split(spark, d), f"{shared_folder(spark).rstrip('/')}/runs-{uuid.uuid4().hex}"
+    specs = [SPECS[k] for k in LINEAR]
+    run_grid_logged(rows, ["n_orders"], LABEL, specs[:2], folder, ["day"])
+    grid = run_grid_logged(rows, ["n_orders"], LABEL, specs, folder, ["day"])
+    return rounded(grid, *ROUNDED).select("run", "n", *ROUNDED, "reused")
+
+
 @query(
     "walk_forward_ridge",
     f"""WITH {DAYS_SQL}, cuts AS (SELECT k AS fold, n - (4 - k + 1) * (n // 5) AS trains, n // 5 AS m
@@ -294,6 +305,60 @@ def boosted_stumps(spark, d):
     return rounded(found.groupBy(*FEW).agg(F.count(F.lit(1)).alias("n"), F.max("y_pred").alias("y_pred")), "y_pred")
 
 
+TREE = Spec("tree", "random_forest", {"trees": 1, "depth": 2, "bootstrap": False})
+
+
+def _tree_level_sql(level: int, rows: str) -> str:
+    """The best split of every node of ``rows`` (with ``node``), and the rows in the nodes below."""
+    long = " UNION ALL ".join(f"SELECT node, '{c}' AS feature, {c} AS x, y FROM {rows}" for c in FEW)
+    value = " ".join(f"WHEN '{c}' THEN {c}" for c in FEW)
+    return f"""cells{level} AS (SELECT node, feature, x, lead(x) OVER w AS next, sum(n) OVER w AS nl, sum(s) OVER w AS sl,
+          sum(n) OVER (PARTITION BY node, feature) AS n, sum(s) OVER (PARTITION BY node, feature) AS s
+          FROM (SELECT node, feature, x, count(*) AS n, sum(y) AS s FROM ({long}) GROUP BY ALL) WINDOW w AS (PARTITION BY node, feature ORDER BY x)),
+        best{level} AS (SELECT DISTINCT ON (node) node, feature, (x + next) / 2 AS bar, sl * sl / nl + (s - sl) * (s - sl) / (n - nl) - s * s / n AS gain
+          FROM cells{level} WHERE next IS NOT NULL ORDER BY node, gain DESC),
+        level{level} AS (SELECT t.* REPLACE (2 * node + CASE WHEN CASE feature {value} END > bar THEN 1 ELSE 0 END AS node)
+          FROM {rows} t JOIN best{level} USING (node))"""
+
+
+TREE_SQL = f"""WITH lines AS (SELECT l_linenumber, round(l_tax * 100) AS tax, round(l_discount * 100) AS discount, l_extendedprice / 1000 AS y, 1 AS node FROM lineitem),
+        {_tree_level_sql(0, "lines")}, {_tree_level_sql(1, "level0")}"""
+
+
+def _tree(spark, d):
+    """Two levels of one tree over all line items, grown on features with few values, so that its splits have a closed form."""
+    lines = table(spark, d, "lineitem").select(
+        "l_linenumber", F.round(F.col("l_tax") * 100).alias("tax"), F.round(F.col("l_discount") * 100).alias("discount"),
+        (F.col("l_extendedprice") / 1000).alias("y"),
+    )
+    data = assemble(lines, FEW, "y")
+    return data, fit_model(data, TREE)
+
+
+@query(
+    "tree_importance",
+    f"""{TREE_SQL}, gains AS (SELECT feature, gain FROM best0 UNION ALL SELECT feature, gain FROM best1),
+        shares AS (SELECT feature, coalesce(sum(gain), 0) / (SELECT sum(gain) FROM gains) AS share
+          FROM (VALUES {", ".join(f"('{c}')" for c in FEW)}) f(feature) LEFT JOIN gains USING (feature) GROUP BY feature)
+        SELECT feature, round(share + 1e-9, 6) AS importance, row_number() OVER (ORDER BY share DESC, feature) AS rank FROM shares""",
+)
+def tree_importance(spark, d):
+    return rounded(importance(spark, _tree(spark, d)[1], FEW), "importance")
+
+
+@query(
+    "tree_predict",
+    f"""{TREE_SQL}, means AS (SELECT node, avg(y) AS y_pred FROM level1 GROUP BY node)
+        SELECT l_linenumber, tax, discount, count(*) AS n, round(max(y_pred) + 1e-9, 6) AS y_pred
+        FROM level1 JOIN means USING (node) GROUP BY l_linenumber, tax, discount""",
+)
+def tree_predict(spark, d):
+    """Predictions of the tree for every combination of its features, with the rows that have it."""
+    data, model = _tree(spark, d)
+    found = predict(model, data, FEW).groupBy(*FEW).agg(F.count(F.lit(1)).alias("n"), F.max("y_pred").alias("y_pred"))
+    return rounded(found, "y_pred")
+
+
 @query("run_grid")
 def run_grid(spark, d):
     specs = [SPECS[n] for n in ("gb_default", "ridge", "naive_mean")]
