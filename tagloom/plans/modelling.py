@@ -238,20 +238,24 @@ def _stump_sql(x: str, y: str) -> str:
         round(mean_high + 1e-9, 6) AS mean_high, CAST(1 AS DOUBLE) AS importance FROM gains ORDER BY gain DESC LIMIT 1""",
 )
 def stump_fit(spark, d):
-    """One tree of depth one over all rows: its split, its leaves and its importance have a closed form."""
+    """One tree of depth one over all rows: its split, its leaves and its importance have a closed form.
+
+    The split is read from the predictions: it lies halfway between the greatest value on the low side and the
+    least one on the high side.
+    """
     lines = table(spark, d, "lineitem").select("l_linenumber", (F.col("l_extendedprice") / 1000).alias("y"))
     spec = Spec("stump", "random_forest", {"trees": 1, "depth": 1, "bootstrap": False})
-    model = fit_model(assemble(lines, ["l_linenumber"], "y"), spec)
-    root = model.trees[0]._call_java("rootNode")
-    values = (root.split().threshold(), root.leftChild().prediction(), root.rightChild().prediction())
-    values += (float(model.featureImportances[0]),)
-    fitted = spark.createDataFrame([values], "threshold double, mean_low double, mean_high double, importance double")
-    # The rows are read once more, so that the split is checked against them and not only reported.
-    sides = lines.join(F.broadcast(fitted)).groupBy("threshold", "importance").agg(
-        F.max(F.when(F.col("l_linenumber") <= F.col("threshold"), F.col("mean_low"))).alias("mean_low"),
-        F.max(F.when(F.col("l_linenumber") > F.col("threshold"), F.col("mean_high"))).alias("mean_high"),
+    data = assemble(lines, ["l_linenumber"], "y")
+    model = fit_model(data, spec)
+    sides = predict(model, data, ["l_linenumber"]).groupBy("y_pred").agg(
+        F.min("l_linenumber").alias("first"), F.max("l_linenumber").alias("last")
+    )
+    split = sides.agg(
+        ((F.min("last") + F.max("first")) / 2).alias("threshold"),
+        F.min_by("y_pred", "first").alias("mean_low"),
+        F.max_by("y_pred", "first").alias("mean_high"),
     )
-    return rounded(sides, "mean_low", "mean_high")
+    return rounded(split, "mean_low", "mean_high").withColumn("importance", F.lit(float(model.featureImportances[0])))
 
 
 @query(

@@ -9,9 +9,10 @@ import uuid
 
 from pyspark.sql import functions as F
 
+from tagloom.models.fit import persistence
 from tagloom.operators import columns, impute, order, scans, series
 from tagloom.operators.clean import require_min_rows
-from tagloom.operators.metrics import fold_summary
+from tagloom.operators.metrics import fold_summary, regression_metrics
 from tagloom.operators.metrics import test_series as indexed_series
 from tagloom.plans import inputs as src
 from tagloom.plans.evaluation import IDS, MEDIANS_SQL, NUMBERS
@@ -40,6 +41,20 @@ def rolling_mean_blocks(spark, d):
     return rolled.select("event_id", "user_id", r6("value_roll3_mean").alias("value_roll3_mean"))
 
 
+@query("horizon_label_blocks", ORACLES["horizon_label"])
+def horizon_label_blocks(spark, d):
+    rows = table(spark, d, "events").select("event_id", "ts", "user_id", "value")
+    limits = {"max_group_rows": 1, "block_rows": 400}
+    return series.add_horizon_label(rows, "value", 2, EVENT_ORDER, ["user_id"], **limits).drop("ts")
+
+
+@query("persistence_blocks", ORACLES["persistence_metrics"])
+def persistence_blocks(spark, d):
+    rows = table(spark, d, "events").select("event_id", "ts", "event_type", "value")
+    known = persistence(rows, "value", EVENT_ORDER, ["event_type"], **SMALL)
+    return rounded(regression_metrics(known, ["event_type"]), "mae", "rmse", "r2")
+
+
 @query("test_series_numbered", ORACLES["test_series"])
 def test_series_numbered(spark, d):
     rows = indexed_series(src.predictions(spark, d), ["l_shipdate", *src.LINE_IDS], max_group_rows=50)
