@@ -440,7 +440,8 @@ def range_join(
     ``window_counts``, which never form them. Readings are keyed by time bucket, anchors by the
     (two or three) buckets they reach, so only neighbours meet. The readings of a bucket with more than
     ``max_bucket_rows`` are dealt out over as many salts as it needs, and only the anchors that reach
-    this bucket are copied for them. Reading columns keep their names, anchor columns get ``anchor_``.
+    this bucket are copied for them. Both sides are shuffled: the planner's sizes do not count the copies, so
+    it would broadcast them. Reading columns keep their names, anchor columns get ``anchor_``.
     """
     entity = list(entity)
     width = (from_minutes - to_minutes) * MICROS_PER_MINUTE
@@ -465,7 +466,7 @@ def range_join(
     points = points.withColumn("_salt", F.explode(F.sequence(F.lit(0).cast("long"), salts - 1))).drop("_salts")
     near = (F.col("_x") > F.col("_end") - F.lit(width)) & (F.col("_x") <= F.col("_end"))
     return (
-        points.join(rows, [*entity, "_bucket", "_salt"])
+        points.hint("merge").join(rows, [*entity, "_bucket", "_salt"])
         .where(near)
         .drop("_bucket", "_salt", "_end", "_x")
     )

@@ -80,6 +80,19 @@ def test_range_join_equals_nested_loop(plant, limit):
     assert sorted((r.anchor_anchor_id, r.row_id) for r in got.collect()) == expected
 
 
+def test_range_join_broadcasts_no_copies(plant, spark, tmp_path, capsys):
+    """Small files, whose sizes say nothing about the anchors copied for the salts."""
+    readings, points, sensor, anchors = plant
+    sensor.write.parquet(f"{tmp_path}/sensor")
+    anchors.write.parquet(f"{tmp_path}/anchors")
+    got = scans.range_join(spark.read.parquet(f"{tmp_path}/anchors"), spark.read.parquet(f"{tmp_path}/sensor"), 45, max_bucket_rows=1)
+    got.explain()
+    by_salt = [line for line in capsys.readouterr().out.splitlines() if "Join" in line and "_salt" in line]
+    assert by_salt and all("SortMergeJoin" in line for line in by_salt)
+    times = [(t, ts) for _, _, t in points for _, _, _, ts, _ in readings]
+    assert got.count() == sum(t - timedelta(minutes=45) < ts <= t for t, ts in times)
+
+
 @pytest.mark.parametrize("limit", [10**6, 5])
 @pytest.mark.parametrize("tolerance", [None, 30])
 def test_asof(plant, tolerance, limit):
