@@ -232,17 +232,24 @@ def at_or_before(df: DataFrame, keys: list[str], boundary: tuple) -> Column:
     return step(0)
 
 
-def row_index(df: DataFrame, order: list[str | Column], name: str = "rn") -> DataFrame:
-    """Number all rows 1..n in ``order``.
+def _sorted_rows(df: DataFrame, order: list[str | Column]) -> tuple[DataFrame, Column, Column]:
+    """Staged rows with ``_pos``, and from it the sort partition and the place in it.
 
     A range-partitioned sort splits hot values by the later keys, so no task gets more than
-    its share. The sorted rows are staged once, then each sort partition only needs the row
-    count of the partitions before it.
+    its share.
     """
     positioned = stage(df.orderBy(*order).withColumn("_pos", F.monotonically_increasing_id()))
     # monotonically_increasing_id: partition number in the upper 31 bits, row in the lower 33.
-    part = F.shiftright("_pos", 33)
-    inside = F.col("_pos").bitwiseAND(F.lit((1 << 33) - 1))
+    return positioned, F.shiftright("_pos", 33), F.col("_pos").bitwiseAND(F.lit((1 << 33) - 1))
+
+
+def row_index(df: DataFrame, order: list[str | Column], name: str = "rn") -> DataFrame:
+    """Number all rows 1..n in ``order``.
+
+    The sorted rows are staged once, then each sort partition only needs the row count of the
+    partitions before it.
+    """
+    positioned, part, inside = _sorted_rows(df, order)
     counts = sorted(positioned.groupBy(part.alias("p")).count().collect())
     offsets, total = [], 0
     for p, n in counts:
@@ -272,23 +279,35 @@ def group_index(
     name: str = "rn",
     max_group_rows: int = MAX_GROUP_ROWS,
 ) -> DataFrame:
-    """Number the rows of every group 1..n; groups above the limit go through row_index."""
+    """Number the rows of every group 1..n.
+
+    Above the limit all rows are sorted and staged. A group lies in one stretch of each sort partition
+    it reaches, so its rows there only need the start of the stretch and the rows of the group in the
+    partitions before. No step deals out rows by group alone.
+    """
     if largest_group(df, partition) <= max_group_rows:
         w = Window.partitionBy(*partition).orderBy(*order)
         return df.withColumn(name, F.row_number().over(w).cast("long"))
-    indexed = row_index(df, [*partition, *order], "_global")
     if not partition:
-        return indexed.withColumnRenamed("_global", name)
-    first = indexed.groupBy(*[F.col(p).alias(f"_{p}") for p in partition]).agg(
-        F.min("_global").alias("_first")
+        return row_index(df, order, name)
+    positioned, part, inside = _sorted_rows(df, [*partition, *order])
+    keys = [f"_k{i}" for i in range(len(partition))]
+    stretches = positioned.groupBy(part.alias("_at"), *[F.col(p).alias(k) for p, k in zip(partition, keys)]).agg(
+        F.count(F.lit(1)).alias("_n"), F.min(inside).alias("_start")
     )
+    # One row per sort partition a group reaches.
+    earlier = Window.partitionBy(*keys).orderBy("_at").rowsBetween(Window.unboundedPreceding, -1)
+    before = F.coalesce(F.sum("_n").over(earlier), F.lit(0).cast("long"))
+    # Staged, so that the planner knows its size and shuffles the rows only when it is large.
+    shifts = stage(stretches.withColumn("_shift", before - F.col("_start")).drop("_n", "_start"))
     same = reduce(
-        lambda a, b: a & b, [F.col(p).eqNullSafe(F.col(f"_{p}")) for p in partition]
+        lambda a, b: a & b, [F.col(p).eqNullSafe(F.col(k)) for p, k in zip(partition, keys)], F.col("_part") == F.col("_at")
     )
     return (
-        indexed.join(first, same)
-        .withColumn(name, F.col("_global") - F.col("_first") + 1)
-        .drop("_global", "_first", *[f"_{p}" for p in partition])
+        positioned.withColumn("_part", part)
+        .join(shifts, same)
+        .withColumn(name, inside + F.col("_shift") + 1)
+        .drop("_part", "_at", "_shift", "_pos", *keys)
     )
 
 

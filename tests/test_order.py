@@ -1,4 +1,5 @@
 import random
+from collections import Counter
 from datetime import date, datetime, timedelta
 
 import pytest
@@ -150,6 +151,27 @@ def test_group_index(hot, limit):
     assert {r.id: r.rn for r in got.collect()} == expected
 
 
+def test_group_index_spreads_one_group(spark):
+    """A group above the limit is numbered in many partitions, also where its numbers are joined by a shuffle."""
+    df = spark.range(4000).select(F.lit("hot").alias("g"), F.col("id"), (F.col("id") * 7919 % 4001).alias("ts")).repartition(4)
+    conf = {
+        "spark.sql.autoBroadcastJoinThreshold": "-1",
+        "spark.sql.adaptive.enabled": "false",
+        "spark.sql.shuffle.partitions": "16",
+    }
+    old = {k: spark.conf.get(k) for k in conf}
+    try:
+        for k, v in conf.items():
+            spark.conf.set(k, v)
+        got = ranks.group_index(df, ["g"], ["ts"], max_group_rows=100)
+        placed = [(r.ts, r.rn, r.p) for r in got.withColumn("p", F.spark_partition_id()).collect()]
+    finally:
+        for k, v in old.items():
+            spark.conf.set(k, v)
+    assert [n for _, n, _ in sorted(placed)] == list(range(1, 4001))
+    assert max(Counter(p for _, _, p in placed).values()) < 2000
+
+
 def test_top_and_best(spark):
     df = spark.createDataFrame(
         [("a", "x", 2.0), ("a", "y", 1.0), ("a", "z", 1.0), ("b", "x", None), ("b", "y", 5.0)], "g string, m string, v double"
