@@ -23,6 +23,9 @@ CHUNKS_PER_WINDOW = 240
 # Places a carrying window scans, and levels above the first. On the last one a place is 1,900 years of hours or
 # 8 years of quarter minutes, so all times a timestamp can hold are at most some 1,300 places there.
 CARRY_FAN, CARRY_LEVELS = 4096, 2
+# Readings that salts of an interval join hold in a large bucket, however low its limit is. So many meet each copy of an anchor,
+# which makes copies few beside the pairs. A merge join keeps up to 4,096 rows of a key as they are.
+SALT_ROWS = 3000
 MOMENTS = ("n", "mean", "m2", "lo", "hi", "first", "last")
 
 Bounds = tuple[str, int, int]  # name, minutes before the anchor: from (exclusive), to (inclusive)
@@ -440,8 +443,9 @@ def range_join(
     ``window_counts``, which never form them. Readings are keyed by time bucket, anchors by the
     (two or three) buckets they reach, so only neighbours meet. The readings of a bucket with more than
     ``max_bucket_rows`` are dealt out over as many salts as it needs, and only the anchors that reach
-    this bucket are copied for them. Both sides are shuffled: the planner's sizes do not count the copies, so
-    it would broadcast them. Reading columns keep their names, anchor columns get ``anchor_``.
+    this bucket are copied for them. A limit below ``SALT_ROWS`` gives no more salts than two or one per ``SALT_ROWS``
+    readings, as copies for every few readings would be nearly as many as the pairs. Both sides are shuffled: the planner's
+    sizes do not count the copies, so it would broadcast them. Reading columns keep their names, anchor columns get ``anchor_``.
     """
     entity = list(entity)
     width = (from_minutes - to_minutes) * MICROS_PER_MINUTE
@@ -449,7 +453,8 @@ def range_join(
     rows = rows.withColumn("_bucket", floor_div(F.col("_x"), width)).where("_bucket IS NOT NULL")
     buckets = [*entity, "_bucket"]
     hot = rows.groupBy(*buckets).count().where(F.col("count") > max_bucket_rows)
-    hot = hot.select(*buckets, F.ceil(F.col("count") / max_bucket_rows).alias("_salts"))
+    enough = F.greatest(F.ceil(F.col("count") / SALT_ROWS), F.lit(2).cast("long"))
+    hot = hot.select(*buckets, F.least(F.ceil(F.col("count") / max_bucket_rows), enough).alias("_salts"))
     salts = F.coalesce("_salts", F.lit(1).cast("long"))
     # A row's salt follows from its own values, so a task that runs again deals it to the same place.
     place = F.xxhash64(*[F.col(c) for c in sensor.columns if not isinstance(sensor.schema[c].dataType, (T.MapType, T.VariantType))])

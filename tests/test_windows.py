@@ -93,6 +93,27 @@ def test_range_join_broadcasts_no_copies(plant, spark, tmp_path, capsys):
     assert got.count() == sum(t - timedelta(minutes=45) < ts <= t for t, ts in times)
 
 
+def exploded(plan):
+    """Rows out of every explode of a plan that has run."""
+    name, below = plan.nodeName(), plan.children()
+    inner = [plan.executedPlan()] if name == "AdaptiveSparkPlan" else [plan.plan()] if name.endswith("QueryStage") else []
+    rows_out = [plan.metrics().apply("numOutputRows").value()] if name == "Generate" else []
+    return rows_out + [n for p in inner + [below.apply(i) for i in range(below.size())] for n in exploded(p)]
+
+
+@pytest.mark.parametrize("readings, salts", [(600, 2), (7000, 3)])
+def test_range_join_copies_few_anchors(spark, readings, salts):
+    """A limit of three readings a salt does not copy an anchor for every three readings."""
+    sensor = spark.range(readings).selectExpr("id AS row_id", "timestamp_ntz'2024-01-01 05:00:01' + make_interval(0, 0, 0, 0, 0, 0, id % 3000) AS ts")
+    anchors = spark.range(40).selectExpr("id AS anchor_id", "timestamp_ntz'2024-01-01 05:50:30' + make_interval(0, 0, 0, 0, 0, 0, id) AS ts")
+    got = scans.range_join(anchors, sensor, 60, max_bucket_rows=3)
+    pairs = {(r.anchor_anchor_id, r.row_id) for r in got.collect()}
+    assert pairs == {(a, i) for a in range(40) for i in range(readings)}
+    # The bucket before has no readings, so its anchors are not copied.
+    assert sorted(exploded(got._jdf.queryExecution().executedPlan())) == [2 * 40, (salts + 1) * 40]
+    assert got.count() == len(pairs)
+
+
 @pytest.mark.parametrize("limit", [10**6, 5])
 @pytest.mark.parametrize("tolerance", [None, 30])
 def test_asof(plant, tolerance, limit):
